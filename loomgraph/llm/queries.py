@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import format_duplicates, look_alikes, sentences, term_frequency
+from loomgraph.llm import corpus_encoding, format_duplicates, look_alikes, sentences, splitting, term_frequency
 
-_MODULES = (format_duplicates, term_frequency, look_alikes, sentences)
+_MODULES = (format_duplicates, term_frequency, look_alikes, sentences, splitting, corpus_encoding)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
