@@ -6,6 +6,7 @@ array<struct<text,etype,score>>``; null and blank texts get an empty array.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,8 +35,23 @@ def kept(entities: Column, least: float = 0.70) -> Column:
     return F.transform(good, lambda e: F.struct(tx.strip(e["text"]).alias("text"), e["etype"].alias("etype"), F.round(e["score"], 4).alias("score")))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compose_all(batch: pd.Series) -> pd.Series:
+    return batch.map(lambda ts: [None if t is None else unicodedata.normalize("NFC", t) for t in ts], na_action="ignore")
+
+
+def composed(df: DataFrame, column: str = "entities") -> DataFrame:
+    """Entity texts in composed form; only arrays that may change go to Python."""
+    texts = F.transform(column, lambda e: e["text"])
+    some = F.exists(texts, lambda t: t.rlike(tx._MAY_COMPOSE))
+    df = df.withColumn("_t", F.coalesce(_compose_all(F.when(some, texts)), texts))
+    zipped = F.zip_with(column, "_t", lambda e, t: F.struct(t.alias("text"), e["etype"].alias("etype"), e["score"].alias("score")))
+    return df.withColumn(column, zipped).drop("_t")
+
+
 def normalized(df: DataFrame, column: str = "entities") -> DataFrame:
     """Entities with canonical surfaces, emptied ones dropped; ``n_changed`` and ``n_dropped`` count what happened; rows without any go."""
+    df = composed(df, column)
     named = F.transform(column, lambda e: F.struct(e["text"].alias("raw"), tx.normalize_entity(e["text"], compose=False).alias("text"), e["etype"].alias("etype"), e["score"].alias("score")))
     out = df.withColumn("_n", named).withColumns(
         {

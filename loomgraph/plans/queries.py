@@ -1,6 +1,722 @@
-"""Registry of the core queries and their SQL."""
+"""Registry of the core queries: Spark plans over the driver's tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as tx
+from loomgraph.operators import bio, graph, ner, relations, reporting, spans, training, triples
+from loomgraph.plans import rules
+from loomgraph.plans.runtime import ensure_checkpoint_dir, materialize, table
+from loomgraph.sources import readers
+from loomgraph.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- shared SQL --------------------------------------------------------------------------------
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def _filled(x: str, default: str) -> str:
+    return f"coalesce(nullif({_strip(f'''coalesce(nullif({x},''),'{default}')''')},''),'{default}')"
+
+
+_CLEAN = f"""
+c AS (SELECT * FROM (
+  SELECT triple_id AS ord, {_strip("coalesce(subject,'')")} AS subject, {_strip("coalesce(obj,'')")} AS object,
+    {_filled("subject_type", "UNKNOWN")} AS subject_type, {_filled("obj_type", "UNKNOWN")} AS object_type,
+    {_filled("relation", "LIEN_QUAN")} AS relation, coalesce(confidence, 1.0) AS weight, CAST(1 AS BIGINT) AS frequency, source_id
+  FROM triples) WHERE subject <> '' AND object <> '' AND subject <> object)"""
+_EDGES = _CLEAN + ", e AS (SELECT subject AS src, object AS dst, sum(weight) AS weight FROM c GROUP BY 1, 2)"
+_ENDS = "SELECT subject AS node, subject_type AS t, ord * 2 AS o FROM c UNION ALL SELECT object, object_type, ord * 2 + 1 FROM c"
+_VALID = rf"""
+v AS (SELECT * FROM triples WHERE confidence >= 0.5
+  AND length({_strip("subject")}) > 1 AND length({_strip("obj")}) > 1
+  AND NOT regexp_matches(subject, '^[\d\s.,;:\-/]+$') AND NOT regexp_matches(obj, '^[\d\s.,;:\-/]+$'))"""
+_FINAL = _VALID + """,
+f AS (SELECT min(triple_id) AS ord, subject, relation, obj, arg_max(struct_pack(v := subject_type), k).v AS subject_type, arg_max(struct_pack(v := obj_type), k).v AS obj_type, max(confidence) AS confidence,
+  count(*) AS frequency, arg_max(struct_pack(v := source_id), k).v AS source_id, arg_max(struct_pack(v := left(source_text, 120)), k).v AS source_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, obj ORDER BY confidence, triple_id DESC) AS k FROM v) GROUP BY subject, relation, obj)"""
+
+
+def _entity_sql(x: str) -> str:
+    """SQL of the entity normalization (without composition)."""
+    base = rf"regexp_replace(regexp_replace({_strip(x)}, '[\s\p{{Z}}]{{2,}}', ' ', 'g'), '^[.,;:!?\"'']+|[.,;:!?\"'']+$', '', 'g')"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ALIASES.items())
+    return rf"""(CASE WHEN {x} IS NULL OR {_strip(x)} = '' THEN '' ELSE coalesce(CASE lower({base}) {cases} ELSE NULL END,
+      CASE WHEN length({base}) < 2 OR length({base}) > 80 OR regexp_matches({base}, '^[\d\s\p{{Z}}.,;:\-/]+$') THEN '' ELSE {base} END) END)"""
+
+
+# ---- triples and graph -------------------------------------------------------------------------
+
+
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    return triples.clean(table(spark, d, "triples"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return _clean(spark, d).groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def _final(spark: SparkSession, d: str) -> DataFrame:
+    return triples.dedup(table(spark, d, "triples"))
+
+
+def _multi(spark: SparkSession, d: str) -> DataFrame:
+    return _final(spark, d).withColumnsRenamed({"subject": "src", "obj": "dst"})
+
+
+@query(f"WITH {_CLEAN} SELECT ord, subject, subject_type, relation, object, object_type, weight, frequency, source_id FROM c")
+def q_triples_clean(spark, d):
+    return _clean(spark, d).select("ord", "subject", "subject_type", "relation", "object", "object_type", "weight", "frequency", "source_id")
+
+
+@query(
+    f"WITH {_CLEAN}, r AS (SELECT subject, object, relation, sum(weight) AS w, sum(frequency) AS f, count(*) AS n FROM c GROUP BY 1, 2, 3) "
+    "SELECT subject, object, round(sum(w), 4) AS weight, CAST(sum(f) AS BIGINT) AS frequency, CAST(sum(n) AS BIGINT) AS triple_count, "
+    "string_agg(relation || ':' || n, '|' ORDER BY relation) AS relations FROM r GROUP BY 1, 2"
+)
+def q_edges_collapse(spark, d):
+    entries = F.transform(F.map_entries("relations"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return triples.collapse(_clean(spark, d)).select("subject", "object", F.round("weight", 4).alias("weight"), "frequency", "triple_count", F.array_join(entries, "|").alias("relations"))
+
+
+@query(
+    f"WITH {_FINAL} SELECT subject, obj, coalesce(string_agg(DISTINCT relation, '|' ORDER BY relation), '') AS relation, round(max(confidence), 4) AS confidence, "
+    "CAST(sum(frequency) AS BIGINT) AS frequency, round(sum(round(frequency * confidence, 4)), 4) AS weight FROM f GROUP BY 1, 2"
+)
+def q_edges_export(spark, d):
+    return triples.collapse_export(_final(spark, d))
+
+
+@query(f"WITH {_CLEAN}, ends AS ({_ENDS}) SELECT node, arg_min(t, o) AS entity_type FROM ends GROUP BY 1")
+def q_node_types_first(spark, d):
+    return triples.node_types(_clean(spark, d), upgrade=False).select("node", "entity_type")
+
+
+@query(f"WITH {_CLEAN}, ends AS ({_ENDS}) SELECT node, coalesce(arg_min(t, o) FILTER (WHERE t <> 'UNKNOWN'), 'UNKNOWN') AS entity_type FROM ends GROUP BY 1")
+def q_node_types_upgrade(spark, d):
+    return triples.node_types(_clean(spark, d), upgrade=True).select("node", "entity_type")
+
+
+_DEGREE = "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1)"
+
+
+@query(f"WITH {_EDGES}, {_DEGREE} SELECT * FROM deg")
+def q_degree(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@query(f"WITH {_FINAL}, e AS (SELECT subject AS src, obj AS dst FROM f), {_DEGREE} SELECT * FROM deg")
+def q_degree_multi(spark, d):
+    return graph.degrees(_multi(spark, d))
+
+
+@query(f"WITH {_EDGES}, {_DEGREE} SELECT degree, count(*) AS nodes, CAST(coalesce(sum(count(*)) OVER (ORDER BY degree DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS first_rank FROM deg GROUP BY degree")
+def q_degree_series(spark, d):
+    return reporting.degree_series(graph.degrees(_edges(spark, d)))
+
+
+def _typed_degrees(spark, d):
+    types = triples.node_types(_clean(spark, d), upgrade=False)
+    return types.join(graph.degrees(_edges(spark, d)), "node")
+
+
+_TYPED = f"{_EDGES}, {_DEGREE}, ends AS ({_ENDS}), td AS (SELECT node, arg_min(t, o) AS entity_type, min(o) AS ord, any_value(degree) AS degree FROM ends JOIN deg USING (node) GROUP BY node)"
+
+
+@query(f"WITH {_TYPED} SELECT node, entity_type, degree FROM td ORDER BY degree DESC, ord LIMIT 20")
+def q_top_degree_nodes(spark, d):
+    return _typed_degrees(spark, d).orderBy(F.desc("degree"), "ord").limit(20).select("node", "entity_type", "degree")
+
+
+@query(
+    f"WITH {_TYPED}, t AS (SELECT node FROM td ORDER BY degree DESC, ord LIMIT 30) "
+    "SELECT src, dst, round(weight, 4) AS weight FROM e WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)"
+)
+def q_topk_subgraph(spark, d):
+    return graph.top_subgraph(_edges(spark, d), _typed_degrees(spark, d), 30).select("src", "dst", F.round("weight", 4).alias("weight"))
+
+
+@query(f"WITH {_FINAL} SELECT subject AS src, obj AS dst, arg_min(struct_pack(r := relation), ord).r AS relation, arg_min(confidence, ord) AS confidence, arg_min(frequency, ord) AS frequency FROM f GROUP BY 1, 2")
+def q_edge_pick(spark, d):
+    return graph.first_parallel(_multi(spark, d)).select("src", "dst", "relation", "confidence", "frequency")
+
+
+_WCC = """
+both_ways AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+cc(node, wcc) USING KEY (node) AS (
+  SELECT a, a FROM both_ways GROUP BY a
+  UNION
+  (SELECT u.node, min(v.wcc) FROM recurring.cc AS u JOIN both_ways ON a = u.node JOIN cc AS v ON b = v.node WHERE v.wcc < u.wcc GROUP BY u.node))"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_WCC} SELECT node, wcc FROM cc")
+def q_wcc(spark, d):
+    return graph.measures(_edges(spark, d)).select("node", "wcc")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_WCC} SELECT wcc, count(*) AS nodes FROM cc GROUP BY 1")
+def q_component_sizes(spark, d):
+    return q_wcc(spark, d).groupBy("wcc").agg(F.count(F.lit(1)).alias("nodes")).orderBy(F.desc("nodes"))
+
+
+@query()
+def q_wcc_joins(spark, d):
+    """The same components by the iterative joins that serve graphs beyond the local bound."""
+    return graph.weak_components(_edges(spark, d))
+
+
+@query()
+def q_scc(spark, d):
+    return graph.measures(_edges(spark, d)).select("node", "scc")
+
+
+@query()
+def q_pagerank(spark, d):
+    return graph.measures(_edges(spark, d)).select("node", F.round("pagerank", 10).alias("pagerank"))
+
+
+@query()
+def q_betweenness(spark, d):
+    return graph.any_betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
+
+
+def _metrics(spark, d):
+    return materialize(graph.node_metrics(materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False)))
+
+
+@query()
+def q_node_metrics(spark, d):
+    return _metrics(spark, d).orderBy(*graph.base_order()).drop("ord")
+
+
+@query()
+def q_top_degree(spark, d):
+    return graph.top(_metrics(spark, d), "degree").drop("ord")
+
+
+@query()
+def q_top_betweenness(spark, d):
+    return graph.top(_metrics(spark, d), "betweenness").drop("ord")
+
+
+@query()
+def q_top_pagerank(spark, d):
+    return graph.top(_metrics(spark, d), "pagerank").drop("ord")
+
+
+def _summary(spark, d):
+    edges = materialize(_edges(spark, d))
+    kinds = _clean(spark, d).agg(F.count_distinct("relation")).first()[0]
+    return graph.summary(edges, graph.measures(edges), kinds)
+
+
+@query(
+    f"WITH RECURSIVE {_EDGES}, {_WCC} SELECT (SELECT count(*) FROM cc) AS nodes, (SELECT count(*) FROM e) AS edges_unique, "
+    "round((SELECT count(*) FROM e) / ((SELECT count(*) FROM cc) * ((SELECT count(*) FROM cc) - 1.0)), 12) AS density, (SELECT count(DISTINCT wcc) FROM cc) AS weakly_connected_components, "
+    "(SELECT count(DISTINCT relation) FROM c) AS relation_types, (SELECT max(n) FROM (SELECT count(*) AS n FROM cc GROUP BY wcc)) AS largest_wcc"
+)
+def q_graph_totals(spark, d):
+    return _summary(spark, d).select("nodes", "edges_unique", F.round("density", 12).alias("density"), "weakly_connected_components", "relation_types", "largest_wcc")
+
+
+@query()
+def q_graph_summary(spark, d):
+    return _summary(spark, d)
+
+
+@query()
+def q_summary_document(spark, d):
+    return graph.summary_document(_summary(spark, d), _metrics(spark, d))
+
+
+@query(f"WITH {_VALID} SELECT triple_id, subject, relation, obj, confidence FROM v")
+def q_triple_filter(spark, d):
+    return triples.valid(table(spark, d, "triples")).select("triple_id", "subject", "relation", "obj", "confidence")
+
+
+@query(f"WITH {_FINAL} SELECT ord, subject, subject_type, relation, obj, obj_type, confidence, frequency, round(frequency * confidence, 4) AS weight, source_id, source_text FROM f")
+def q_triple_dedup(spark, d):
+    return _final(spark, d)
+
+
+@query(f"WITH {_FINAL} SELECT subject, relation, obj, frequency FROM f WHERE frequency >= 2")
+def q_triple_frequent(spark, d):
+    return triples.dedup(table(spark, d, "triples"), least_freq=2).select("subject", "relation", "obj", "frequency")
+
+
+@query(
+    f"WITH {_FINAL} SELECT subject, subject_type, relation, obj AS object, obj_type AS object_type, round(confidence, 4) AS confidence, frequency, "
+    "round(frequency * confidence, 4) AS weight, source_id, source_text FROM f"
+)
+def q_triple_export(spark, d):
+    return triples.export_rows(_final(spark, d))
+
+
+@query(f"WITH {_FINAL} SELECT count(DISTINCT source_id) AS sources, round(count(DISTINCT source_id) / CAST((SELECT count(*) FROM articles) AS DOUBLE), 6) AS share FROM f")
+def q_coverage(spark, d):
+    return triples.coverage(_final(spark, d), table(spark, d, "articles").count())
+
+
+@query(f"WITH {_FINAL} SELECT round(avg(confidence), 6) AS mean, round(median(confidence), 6) AS median, min(confidence) AS least FROM f")
+def q_conf_stats(spark, d):
+    return triples.confidence_stats(_final(spark, d))
+
+
+@query(f"WITH {_FINAL} SELECT relation, count(*) AS n FROM f GROUP BY 1")
+def q_relation_dist(spark, d):
+    return triples.counts_by(_final(spark, d), "relation")
+
+
+@query(
+    f"WITH {_FINAL} SELECT 'rules' AS model, count(*) AS total_triples, count(*) AS total_edges, (SELECT count(*) FROM (SELECT subject FROM f UNION SELECT obj FROM f)) AS total_nodes, "
+    "string_agg(DISTINCT relation, '|' ORDER BY relation) AS relation_types, "
+    "(SELECT string_agg(t, '|' ORDER BY t) FROM (SELECT subject_type AS t FROM f UNION SELECT obj_type FROM f) WHERE t IS NOT NULL) AS entity_types, 0.7 AS min_ner_score, 0.5 AS min_confidence FROM f"
+)
+def q_metadata(spark, d):
+    meta = triples.metadata(_final(spark, d), "rules", 0.70, 0.50)
+    return meta.withColumns({c: F.array_join(c, "|") for c in ("relation_types", "entity_types")})
+
+
+@query(f"WITH {_TYPED}, m AS (SELECT max(degree) AS most FROM td) SELECT node, entity_type, degree, round(10 + 40 * degree / most, 6) AS size FROM td, m")
+def q_styled_nodes(spark, d):
+    return reporting.styled_nodes(_typed_degrees(spark, d)).drop("colour")
+
+
+@query(f"WITH {_FINAL} SELECT subject AS src, obj AS dst, relation, frequency, round(greatest(1.0, ln(1 + frequency)), 6) AS width FROM f")
+def q_styled_edges(spark, d):
+    return reporting.styled_edges(_multi(spark, d)).drop("colour")
+
+
+@query()
+def q_sample_per_relation(spark, d):
+    return reporting.sample_per_group(_final(spark, d), "relation", "ord", 3)
+
+
+@query()
+def q_sample_rows(spark, d):
+    return reporting.sample_rows(table(spark, d, "articles").select("id", "title"), "id", 8)
+
+
+@query("SELECT id, title FROM articles ORDER BY id, ingested_at LIMIT 100")
+def q_first_rows(spark, d):
+    return table(spark, d, "articles").orderBy("id", "ingested_at").select("id", "title").limit(100)
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS total FROM articles" for c in ("id", "title", "content", "text", "published_at"))
+)
+def q_missing_profile(spark, d):
+    return reporting.missing_profile(table(spark, d, "articles"), ["id", "title", "content", "text", "published_at"])
+
+
+_LINES = """
+l AS (SELECT triple_id, subject, subject_type, relation, obj, obj_type, confidence FROM (
+  SELECT triple_id, json_extract_string(j, '$.subject') AS subject, json_extract_string(j, '$.subject_type') AS subject_type, json_extract_string(j, '$.relation') AS relation,
+    coalesce(json_extract_string(j, '$.obj'), json_extract_string(j, '$.object')) AS obj, coalesce(json_extract_string(j, '$.obj_type'), json_extract_string(j, '$.object_type')) AS obj_type,
+    CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS confidence
+  FROM (SELECT triple_id, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM triple_lines) WHERE j IS NOT NULL))"""
+
+
+@query(f"WITH {_LINES} SELECT * FROM l")
+def q_json_lines(spark, d):
+    return readers.json_triple_lines(table(spark, d, "triple_lines")).select("triple_id", "subject", "subject_type", "relation", "obj", "obj_type", "confidence")
+
+
+def _merged(spark, d):
+    final = _final(spark, d)
+    nodes = triples.node_types(final, True, dst="obj", dst_type="obj_type")
+    edges = _multi(spark, d).select("src", "dst", "relation", "confidence", "frequency", "weight", "source_id")
+    new = readers.json_triple_lines(table(spark, d, "triple_lines")).where("subject is not null and obj is not null").withColumn("ord", F.col("triple_id"))
+    return graph.merge_incremental(nodes, edges, new)
+
+
+@query(
+    f"WITH {_FINAL}, {_LINES}, g AS (SELECT * FROM l WHERE subject IS NOT NULL AND obj IS NOT NULL), "
+    "old AS (SELECT node, coalesce(arg_min(t, o) FILTER (WHERE t <> 'UNKNOWN'), 'UNKNOWN') AS entity_type FROM (SELECT subject AS node, subject_type AS t, ord * 2 AS o FROM f UNION ALL SELECT obj, obj_type, ord * 2 + 1 FROM f) GROUP BY 1), "
+    "fresh AS (SELECT node, arg_min(struct_pack(t := t), o).t AS entity_type FROM (SELECT subject AS node, subject_type AS t, triple_id * 2 AS o FROM g UNION ALL SELECT obj, obj_type, triple_id * 2 + 1 FROM g) "
+    "WHERE node NOT IN (SELECT node FROM old) GROUP BY 1) SELECT * FROM old UNION ALL SELECT * FROM fresh"
+)
+def q_incremental_nodes(spark, d):
+    return _merged(spark, d)[0]
+
+
+@query(
+    f"WITH {_FINAL}, {_LINES} SELECT subject AS src, obj AS dst, relation, confidence, frequency, round(frequency * confidence, 4) AS weight FROM f UNION ALL "
+    "SELECT subject, obj, relation, confidence, 1, confidence FROM l WHERE subject IS NOT NULL AND obj IS NOT NULL"
+)
+def q_incremental_merge(spark, d):
+    return _merged(spark, d)[1].drop("source_id")
+
+
+# ---- text ----------------------------------------------------------------------------------------
+
+_SINGLE = {k: v for k, v in rules.CHAR_MAP.items() if len(v) == 1}
+_GONE = [k for k, v in rules.CHAR_MAP.items() if not v]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_NORMAL = (
+    rf"regexp_replace(regexp_replace(replace(translate(nfc_normalize(coalesce(text, '')), {_quoted(''.join(_SINGLE) + ''.join(_GONE))}, {_quoted(''.join(_SINGLE.values()))}), '…', '...'), "
+    r"'[ \t]{2,}', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+)
+
+
+@query(f"SELECT rec_id, {_NORMAL} AS normal FROM sentence_records")
+def q_normalize_text(spark, d):
+    return table(spark, d, "sentence_records").select("rec_id", tx.normalize_text(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT span_id, {_entity_sql('text')} AS name FROM entity_spans")
+def q_normalize_entity(spark, d):
+    return table(spark, d, "entity_spans").select("span_id", tx.normalize_entity(F.col("text"), compose=False).alias("name"))
+
+
+@query("SELECT span_id, coalesce(m.v, text) AS canonical FROM entity_spans LEFT JOIN (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in rules.CANONICAL.items()) + r") AS m(k, v) ON m.k = regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')")
+def q_canonicalize(spark, d):
+    return table(spark, d, "entity_spans").select("span_id", tx.canonicalize(F.col("text")).alias("canonical"))
+
+
+@query()
+def q_split_sentences(spark, d):
+    """Greedy sentence packs of all article fields."""
+    return ner.sentence_rows(table(spark, d, "articles").select("id", "title", "content", "text"))
+
+
+@query()
+def q_model_chunks(spark, d):
+    chunks = F.posexplode(tx.model_chunks(F.coalesce("content", F.lit(""))))
+    return table(spark, d, "articles").select("id", chunks.alias("chunk_no", "c")).select("id", "chunk_no", "c.chunk", "c.start")
+
+
+@query(
+    "SELECT rec_id, len(list_filter(entities, x -> x.score >= 0.7 AND coalesce(x.etype, '') NOT IN ('', 'O') AND regexp_matches(x.text, '[^\\s\\p{Z}]'))) AS n FROM sentence_records WHERE entities IS NOT NULL"
+)
+def q_entity_filter(spark, d):
+    return table(spark, d, "sentence_records").where("entities is not null").select("rec_id", F.size(ner.kept(F.col("entities"))).cast("bigint").alias("n"))
+
+
+@query()
+def q_entity_pass(spark, d):
+    rows = table(spark, d, "sentence_records").select("rec_id", "row_id", "text", "entities").where("entities is not null")
+    return ner.normalized(rows).select("rec_id", "n_changed", "n_dropped", F.size("entities").alias("n_left"))
+
+
+@query(
+    "SELECT count(*) AS sentences, round(count(*) / CAST(count(DISTINCT row_id) AS DOUBLE), 6) AS per_article, CAST(sum(coalesce(len(entities), 0)) AS BIGINT) AS entities FROM sentence_records"
+)
+def q_sentence_stats(spark, d):
+    rows = table(spark, d, "sentence_records").withColumn("entities", F.coalesce("entities", F.array().cast(ner.ENTITIES)))
+    return reporting.sentence_stats(rows)
+
+
+def _texts(spark, d):
+    return table(spark, d, "sentence_records").select("rec_id", "row_id", "field_name", tx.normalize_text(F.col("text")).alias("text"), F.coalesce("entities", F.array().cast(ner.ENTITIES)).alias("entities"))
+
+
+def _entries(spark, d):
+    return spans.dictionary_entries(table(spark, d, "gazetteer"))
+
+
+def _rows_of(df: DataFrame, column: str) -> DataFrame:
+    return df.select("rec_id", F.explode(column).alias("s")).select("rec_id", "s.start", "s.end", "s.etype")
+
+
+@query()
+def q_regex_spans(spark, d):
+    return _rows_of(_texts(spark, d).select("rec_id", spans.regex_spans(F.col("text")).alias("spans")), "spans")
+
+
+@query()
+def q_regex_spans_basic(spark, d):
+    return _rows_of(_texts(spark, d).select("rec_id", spans.regex_spans(F.col("text"), rules.FAMILIES_BASIC).alias("spans")), "spans")
+
+
+@query()
+def q_gazetteer_spans(spark, d):
+    return _rows_of(_texts(spark, d).select("rec_id", spans.dictionary_spans(F.col("text"), _entries(spark, d)).alias("spans")), "spans")
+
+
+@query(
+    "SELECT rec_id, instr(lower(text), 'năng lượng') - 1 AS start, "
+    + " OR ".join(f"contains(lower(substring(text, greatest(1, instr(lower(text), 'năng lượng') - 50), least(instr(lower(text), 'năng lượng') - 1, 50))), '{t}') OR contains(lower(substring(text, instr(lower(text), 'năng lượng'), 50)), '{t}')" for t in rules.INDUSTRY_TRIGGERS)
+    + " AS has_context FROM sentence_records WHERE contains(lower(text), 'năng lượng')"
+)
+def q_industry_context(spark, d):
+    at = F.instr(F.lower("text"), F.lit("năng lượng")) - 1
+    rows = table(spark, d, "sentence_records").where(F.lower("text").contains("năng lượng")).withColumn("at", at)
+    return rows.select("rec_id", F.col("at").cast("bigint").alias("start"), spans.industry_context(F.col("text"), F.col("at")).alias("has_context"))
+
+
+def _hybrid(spark, d):
+    texts = _texts(spark, d)
+    texts = texts.withColumn("found", F.concat(spans.model_spans(F.col("text"), F.col("entities")), spans.regex_spans(F.col("text")), spans.dictionary_spans(F.col("text"), _entries(spark, d))))
+    return texts.withColumn("spans", spans.resolve_overlaps(F.col("found")))
+
+
+@query()
+def q_resolve_overlaps(spark, d):
+    return _rows_of(_hybrid(spark, d), "spans")
+
+
+@query()
+def q_tokens(spark, d):
+    rows = _texts(spark, d).select("rec_id", F.posexplode(bio.tokens("text")).alias("i", "t"))
+    return rows.select("rec_id", "i", "t.token", "t.start", "t.end")
+
+
+def _labelled(spark, d):
+    toks = _hybrid(spark, d).withColumn("toks", bio.tokens("text"))
+    return materialize(toks.select("rec_id", "row_id", "field_name", "text", bio.spans_to_bio(F.col("toks"), F.col("spans")).alias("bio")))
+
+
+@query()
+def q_bio(spark, d):
+    return _labelled(spark, d).select("rec_id", F.posexplode("bio").alias("i", "x")).select("rec_id", "i", "x.token", "x.label")
+
+
+@query()
+def q_bio_string(spark, d):
+    """BIO as text and read back."""
+    coded = _labelled(spark, d).select("rec_id", bio.to_string(F.col("bio")).alias("lines"))
+    return coded.select("rec_id", "lines", F.size(bio.from_string(F.col("lines"))).alias("n"))
+
+
+def _fixed(spark, d):
+    return materialize(bio.fixed(_labelled(spark, d), "bio", "fixed"))
+
+
+@query()
+def q_bio_fix(spark, d):
+    return _fixed(spark, d).select("rec_id", F.posexplode("fixed").alias("i", "x")).select("rec_id", "i", "x.token", "x.label")
+
+
+@query()
+def q_entities_from_bio(spark, d):
+    return _fixed(spark, d).select("rec_id", F.posexplode(bio.decode_canonical(F.col("fixed"))).alias("i", "e")).select("rec_id", "i", "e.text", "e.canonical", "e.type")
+
+
+@query()
+def q_ner_records(spark, d):
+    out = bio.records(_fixed(spark, d), "rec_id", "field_name", "text", "fixed")
+    return out.select("id", "source_field", F.to_json(F.struct("*")).alias("record"))
+
+
+@query()
+def q_entity_dist(spark, d):
+    return bio.entity_counts(_fixed(spark, d), "fixed")
+
+
+@query()
+def q_label_dist(spark, d):
+    return bio.label_counts(_fixed(spark, d), "fixed")
+
+
+@query()
+def q_label_delta(spark, d):
+    return bio.label_delta(_fixed(spark, d), "bio", "fixed")
+
+
+@query()
+def q_no_entity(spark, d):
+    return bio.without_entity(_fixed(spark, d), "fixed").where("field_name = 'title'").select("rec_id", "text")
+
+
+# ---- relations -----------------------------------------------------------------------------------
+
+
+def _records(spark, d):
+    return table(spark, d, "sentence_records").where("entities is not null").select(F.col("rec_id").alias("row_id"), "text", "entities")
+
+
+@query(
+    f"""WITH ents AS (SELECT rec_id, text, i, entities[i].text AS raw, entities[i].etype AS etype, entities[i].score AS score FROM sentence_records, range(1, 10000) AS t(i)
+  WHERE i <= len(entities) AND length(text) < 150 AND len(entities) >= 2 AND regexp_matches(text, '[^\\s\\p{{Z}}]')),
+named AS (SELECT *, {_entity_sql('raw')} AS name FROM ents),
+pairs AS (SELECT a.rec_id, a.text, a.name AS subject, b.name AS obj, a.etype AS subject_type, b.etype AS obj_type, round(0.5 * (a.score + b.score) / 2, 4) AS confidence,
+    CASE WHEN b.etype = 'LOCATION' THEN 2 WHEN a.etype = 'PERSON' THEN 1 ELSE 0 END * 100000000 + a.i * 10000 + b.i AS k
+  FROM named a JOIN named b ON a.rec_id = b.rec_id AND a.i <> b.i
+  WHERE ((a.etype = 'ORGANIZATION' AND b.etype IN ('ORGANIZATION', 'LOCATION')) OR (a.etype = 'PERSON' AND b.etype = 'ORGANIZATION')) AND a.name <> '' AND b.name <> '' AND a.name <> b.name)
+SELECT subject, arg_min(subject_type, k) AS subject_type, 'LIÊN_QUAN' AS relation, obj, arg_min(obj_type, k) AS obj_type, arg_min(struct_pack(c := confidence), k).c AS confidence, rec_id AS source_id,
+  left(text, 120) AS source_text FROM pairs GROUP BY rec_id, text, subject, obj"""
+)
+def q_cooccur(spark, d):
+    return relations.cooccurrence(_records(spark, d))
+
+
+@query()
+def q_best_match(spark, d):
+    """For every triple its subject's best match among the entities of the records of its article."""
+    ents = table(spark, d, "entity_spans").where("text is not null").groupBy("row_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("span_id", "text", "etype"))), lambda e: F.struct(e["text"].alias("text"), e["etype"].alias("etype"))).alias("entities")
+    )
+    rows = table(spark, d, "triples").where("subject is not null").select("triple_id", "subject", F.col("source_id").alias("row_id")).join(ents, "row_id")
+    match = relations.best_entity_match(F.col("subject"), F.col("entities"), ("PERSON", "ORGANIZATION"))
+    return rows.select("triple_id", "subject", match.alias("m")).where("m is not null").select("triple_id", "subject", F.col("m.text").alias("matched"), F.col("m.etype").alias("etype"))
+
+
+@query()
+def q_relations(spark, d):
+    return relations.triples(_records(spark, d))
+
+
+@query()
+def q_graph_from_text(spark, d):
+    """Text to final triples in one plan: normalize entities, extract, filter, dedup."""
+    rows = ner.normalized(_records(spark, d))
+    found = relations.triples(rows).withColumn("triple_id", F.col("source_id") * 10000 + F.col("emit_no"))
+    return triples.dedup(found).drop("ord")
+
+
+@query()
+def q_rule_entities(spark, d):
+    rows = ner.from_rules(_texts(spark, d).drop("entities"), _entries(spark, d))
+    return rows.select("rec_id", F.posexplode("entities").alias("i", "e")).select("rec_id", "i", "e.text", "e.etype")
+
+
+@query()
+def q_stream_articles(spark, d):
+    """Articles as a file stream through extraction by rules; the edges written by the micro-batches."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    entries = _entries(spark, d)
+    schema = spark.read.parquet(f"{d}/articles.parquet").schema
+    q = incremental.follow_articles(spark, f"{d}/articles.parquet", schema, f"{root}/edges", f"{root}/progress", lambda rows: ner.from_rules(rows, entries))
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/edges").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('day', extracted_at) AS start, relation, count(*) AS n FROM triples WHERE extracted_at IS NOT NULL GROUP BY 1, 2")
+def q_windowed_counts(spark, d):
+    events = table(spark, d, "triples").where("extracted_at is not null").select(F.col("extracted_at").alias("ts"), "relation")
+    return incremental.windowed_counts(events).select(F.col("start"), "relation", "n")
+
+
+# ---- training data -------------------------------------------------------------------------------
+
+_SEQ = r"""
+tok AS (SELECT span_id AS seq_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), x -> x <> '') AS tokens, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t FROM entity_spans),
+s AS (SELECT seq_id, tokens, list_transform(range(1, len(tokens) + 1), i -> CASE WHEN i = 1 THEN 'B-' || t ELSE 'I-' || t END) AS labels FROM tok),
+x AS (SELECT seq_id, unnest(labels) AS label FROM s),
+ids AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS label_id FROM (SELECT label FROM x UNION SELECT 'O'))"""
+
+
+def _seqs(spark, d):
+    """Names as token sequences labelled by their type."""
+    toks = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\r\n]+"), lambda t: t != "")
+    kind = F.coalesce(F.nullif(F.upper(F.trim("etype")), F.lit("")), F.lit("UNKNOWN"))
+    rows = table(spark, d, "entity_spans").select(F.col("span_id").alias("seq_id"), toks.alias("tokens"), kind.alias("t"))
+    return rows.select("seq_id", "tokens", F.transform("tokens", lambda x, i: F.concat(F.when(i == 0, "B-").otherwise("I-"), F.col("t"))).alias("labels"))
+
+
+@query(f"WITH {_SEQ}, p AS (SELECT seq_id, tokens, labels, unnest(range(0, greatest(1, CAST(ceil(len(tokens) / 3.0) AS BIGINT)))) AS chunk_no FROM s) SELECT seq_id, chunk_no, array_to_string(list_slice(tokens, chunk_no * 3 + 1, chunk_no * 3 + 3), ' ') AS tokens FROM p")
+def q_chunk(spark, d):
+    return training.chunked(_seqs(spark, d), 3).select("seq_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(
+    f"WITH {_SEQ} SELECT CAST(min(len(tokens)) AS BIGINT) AS least, round(avg(len(tokens)), 6) AS mean, CAST(max(len(tokens)) AS BIGINT) AS most, round(quantile_cont(len(tokens), 0.95), 6) AS p95, "
+    "round(avg(CASE WHEN len(tokens) > 4 THEN 1.0 ELSE 0.0 END), 6) AS share_over FROM s"
+)
+def q_len_stats(spark, d):
+    return training.length_stats(_seqs(spark, d), 4)
+
+
+@query(f"WITH {_SEQ} SELECT label, CAST(label_id AS INTEGER) AS label_id FROM ids")
+def q_label_ids(spark, d):
+    return training.label_ids(_seqs(spark, d))
+
+
+@query(f"WITH {_SEQ}, n AS (SELECT label, count(*) AS n FROM x GROUP BY 1) SELECT label, n, round(n / CAST((SELECT sum(n) FROM n) AS DOUBLE) * 100, 4) AS pct FROM n")
+def q_label_shares(spark, d):
+    rows = _seqs(spark, d).select(F.transform("labels", lambda x: F.struct(F.lit("").alias("token"), x.alias("label"))).alias("b"))
+    return bio.label_counts(rows, "b")
+
+
+@query(f"WITH {_SEQ}, n AS (SELECT string_split(label, '-')[-1] AS etype, count(*) AS n FROM x WHERE label <> 'O' GROUP BY 1) SELECT etype, n, round(n / CAST((SELECT sum(n) FROM n) AS DOUBLE), 6) AS share FROM n")
+def q_type_shares(spark, d):
+    return training.type_shares(_seqs(spark, d))
+
+
+_RARE = _SEQ + ", n AS (SELECT string_split(label, '-')[-1] AS etype, count(*) AS n FROM x WHERE label <> 'O' GROUP BY 1), rare AS (SELECT etype FROM n WHERE round(n / CAST((SELECT sum(n) FROM n) AS DOUBLE), 6) < 0.05)"
+
+
+@query(f"WITH {_RARE} SELECT seq_id, coalesce(list_has_any(list_transform(labels, l -> string_split(l, '-')[-1]), (SELECT list(etype) FROM rare)), false) AS has_rare FROM s")
+def q_rare_weights(spark, d):
+    seqs = _seqs(spark, d)
+    return training.weighted(seqs, training.rare_types(seqs)).select("seq_id", "has_rare")
+
+
+@query()
+def q_weighted_resample(spark, d):
+    seqs = _seqs(spark, d)
+    return training.resampled(training.weighted(seqs, training.rare_types(seqs)))
+
+
+@query(
+    f"WITH {_SEQ}, n AS (SELECT ids.label, label_id, count(x.label) AS n FROM ids LEFT JOIN x ON x.label = ids.label GROUP BY 1, 2), "
+    "w AS (SELECT *, least(greatest(sqrt((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * CAST(greatest(n, 1) AS DOUBLE))), 0.1), 10.0) AS w FROM n) "
+    "SELECT label, CAST(label_id AS INTEGER) AS label_id, n, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w"
+)
+def q_class_weights(spark, d):
+    seqs = _seqs(spark, d)
+    return training.class_weights(seqs, training.label_ids(seqs))
+
+
+@query()
+def q_encode_labels(spark, d):
+    seqs = _seqs(spark, d)
+    return training.encoded(seqs, training.label_ids(seqs)).select("seq_id", F.array_join(F.col("ner_tags").cast("array<string>"), " ").alias("tags"))
+
+
+@query()
+def q_split(spark, d):
+    return training.split(training.chunked(_seqs(spark, d), 3)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def q_align_subwords(spark, d):
+    seqs = _seqs(spark, d)
+    rows = training.encoded(seqs, training.label_ids(seqs)).withColumn("ids", training.word_ids(F.col("tokens"), lambda w: (len(w) + 3) // 4, 32))
+    return rows.select("seq_id", F.array_join(training.align_labels(F.col("ids"), F.col("ner_tags")).cast("array<string>"), " ").alias("aligned"))
+
+
+_PRF = _SEQ + r""",
+ent AS (SELECT span_id AS seq_id, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t, len(tokens) AS n, score FROM entity_spans JOIN s ON s.seq_id = span_id WHERE len(tokens) > 0),
+g AS (SELECT t AS etype, count(*) AS support FROM ent GROUP BY 1), p AS (SELECT t AS etype, count(*) AS found FROM ent WHERE score >= 0.8 GROUP BY 1),
+m AS (SELECT etype, coalesce(support, 0) AS support, coalesce(found, 0) AS found, coalesce(found, 0) AS tp FROM g FULL JOIN p USING (etype)),
+every AS (SELECT * FROM m UNION ALL SELECT 'micro', sum(support), sum(found), sum(tp) FROM m)"""
+
+
+@query(
+    f"WITH {_PRF} SELECT etype, CAST(support AS BIGINT) AS support, CAST(found AS BIGINT) AS found, CAST(tp AS BIGINT) AS tp, round(CASE WHEN found > 0 THEN tp / CAST(found AS DOUBLE) ELSE 0 END, 6) AS precision, "
+    "round(CASE WHEN support > 0 THEN tp / CAST(support AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN support + found > 0 THEN 2.0 * tp / (support + found) ELSE 0 END, 6) AS f1 FROM every"
+)
+def q_entity_prf(spark, d):
+    """Names as gold, those of score 0.8 or more as predicted."""
+    pred = table(spark, d, "entity_spans").select(F.col("span_id").alias("seq_id"), (F.col("score") >= 0.8).alias("sure"))
+    rows = _seqs(spark, d).join(pred, "seq_id").withColumn("predicted", F.transform("labels", lambda x: F.when(F.col("sure"), x).otherwise("O")))
+    return training.scores(rows, "labels", "predicted")

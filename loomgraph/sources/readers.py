@@ -36,6 +36,17 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(c).cast("string").alias(c) for c in have]).withColumn("triple_id", F.monotonically_increasing_id())
 
 
+def json_triple_lines(lines: DataFrame, key: str = "triple_id", column: str = "line") -> DataFrame:
+    """Triples of raw JSON lines: keys in any order, ``object``/``object_type`` as other names; unreadable lines give none."""
+    schema = ", ".join(f"{n} string" for n in _TRIPLE) + ", _bad string"
+    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    good = lines.select(F.col(key), parsed.alias("r")).where("r is not null and r._bad is null")
+    return good.select(
+        key, "r.subject", "r.subject_type", "r.relation", F.coalesce("r.obj", "r.object").alias("obj"), F.coalesce("r.obj_type", "r.object_type").alias("obj_type"),
+        F.col("r.confidence").try_cast("double").alias("confidence"), F.col("r.source_id").try_cast("bigint").alias("source_id"), "r.source_text",
+    )
+
+
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """``seq_id, tokens, labels`` of token lines in sequences ended by blank lines.
 
