@@ -7,8 +7,8 @@ array<struct<text,etype,score>>``; null and blank texts get an empty array.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from loomgraph.functions import text as tx
 from loomgraph.operators import spans as sp
 
+_LOADED: dict[str, Callable] = {}  # models of this Python worker
 ENTITIES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("etype", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -79,11 +80,11 @@ def from_rules(rows: DataFrame, entries: list[tuple[str, str, str, bool]]) -> Da
 
 def from_model(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], batch: int = 32) -> DataFrame:
     """Entities by a model: ``load`` runs once a worker and gives a function from texts to entity dicts; a failing batch gives none."""
-    cached = lru_cache(maxsize=1)(load)
+    key = uuid.uuid4().hex
     schema = T.StructType([*rows.schema.fields, T.StructField("entities", ENTITIES)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        infer = cached()
+        infer = _LOADED.get(key) or _LOADED.setdefault(key, load())
         for pdf in batches:
             texts, out = pdf["text"].fillna("").tolist(), []
             for at in range(0, len(texts), batch):

