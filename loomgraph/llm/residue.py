@@ -42,7 +42,7 @@ PLACEHOLDERS = (
     r"\bX{2}/X{2}/(?:20)?X{2,4}\b", r"\bdd/mm/yyyy\b",
     r"(?<![\p{L}(%])%(?:s|d|\.\d?f)(?![\p{L}\d])",
     r"\bundefined\b(?=\s+(?:đồng|tỷ|triệu|USD|VND|%|\.|,|và|là))|\blà undefined\b|(?<!\p{L})NaN ?%|\bsinh năm (?:null|undefined|NaN)\b|\[object Object\]",
-    r"(?:^|[\n.!?]\s*)(?:TODO|FIXME|TBD|XXX)\s?:", r"\.{7,}\s*(?:đồng|tỷ|triệu|USD|VND|%|năm|của|ngày)", r"_{6,}\s*(?:đồng|tỷ|triệu|USD|VND|%)",
+    r"(?:^|[\n.!?]\s*)(?:TODO|FIXME|TBD|XXX)\s?:", r"(?<!\.)\.{7,}\s*(?:đồng|tỷ|triệu|USD|VND|%|năm|của|ngày)", r"(?<!_)_{6,}\s*(?:đồng|tỷ|triệu|USD|VND|%)",
 )
 # Wordings and vocabulary of filler text.
 _LOREM = (
@@ -50,9 +50,9 @@ _LOREM = (
     "enim|minim|veniam|quis|nostrud|ullamco|laboris|nisi|aliquip|commodo|duis|aute|irure|velit|esse|cillum|fugiat|nulla|pariatur"
 )
 FILLER = (
-    rf"(?:(?<!\p{{L}})(?:{_LOREM})(?!\p{{L}})[\s,.;]*){{6,}}",
-    r"(?:(?<!\p{L})(xxx+|asdf\w{0,4}|qwerty|test|abc|text|blah|foo|dummy|sample|zzz+|nội dung|văn bản|chữ giả|placeholder)(?!\p{L})[\s,.]+){1}(?:\1[\s,.]+){4,}",
-    r"(?:văn bản giữ chỗ[\s,.]*){2,}", r"đoạn văn mẫu (?:dùng )?để|sẽ được thay (?:thế )?bằng nội dung thật",
+    rf"(?:(?<!\p{{L}})(?:{_LOREM})(?!\p{{L}})[\s,.;]*){{6}}",
+    r"(?:(?<!\p{L})(xxx+|asdf\w{0,4}|qwerty|test|abc|text|blah|foo|dummy|sample|zzz+|nội dung|văn bản|chữ giả|placeholder)(?!\p{L})[\s,.]+)(?:\1[\s,.]+){4}",
+    r"(?:văn bản giữ chỗ[\s,.]*){2}", r"đoạn văn mẫu (?:dùng )?để|sẽ được thay (?:thế )?bằng nội dung thật",
     r"tiêu đề bài viết đặt ở đây|nhập nội dung (?:vào|tại) đây|nội dung bài viết (?:đặt )?ở đây",
     r"(?:^|[\n.!?]\s*)nội dung đang (?:được )?cập nhật",
     r"(?:this is|đây là) (?:a )?(?:sample|placeholder|dummy) (?:text|paragraph)|your (?:text|content|title) (?:goes )?here|insert (?:your )?(?:text|content) here",
@@ -79,7 +79,7 @@ FURNITURE = (
 )
 
 _MASKS = (
-    (r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+|(?<![\w.])(?:[\w-]+\.)+(?:example|com|vn|net|org|html|php|inc)\b\S*|/(?:[\w.-]+/)+[\w.-]*", "⟨address⟩"),
+    (r"https?://\S+|www\.\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w-]+\.[\w.]+|(?<![\w.-])(?:[\w-]{1,64}\.){1,8}(?:example|com|vn|net|org|html|php|inc)\b\S*|/(?:[\w.-]+/)+[\w.-]*", "⟨address⟩"),
     (r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\b\d+-[0-9a-f]{6,}\b", "⟨code⟩"),
     (r"\d+(?:[.,:/h-]\d+)*", "0"),
     (r"\s+", " "),
