@@ -272,16 +272,21 @@ def cut_sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def _cover(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Give characters that fell between sentences (invisible ones) to the sentence before them."""
+    """Invisible characters between sentences go to the one they touch."""
     if not cuts:
         body = text.strip()
         return [(text.index(body), text.index(body) + len(body))] if body else []
     lead = text[: cuts[0][0]]
-    cuts = [(len(lead) - len(lead.lstrip()), cuts[0][1]), *cuts[1:]]
-    out = []
-    for i, (a, b) in enumerate(cuts):
-        gap = text[b : cuts[i + 1][0] if i + 1 < len(cuts) else len(text)]
-        out.append((a, b + len(gap.rstrip())))
+    out, start = [], len(lead) - len(lead.lstrip())
+    for i, (_, end) in enumerate(cuts):
+        last = i + 1 == len(cuts)
+        gap = text[end : len(text) if last else cuts[i + 1][0]]
+        tail = 0  # what stands right before the next sentence
+        if not last and gap.strip() and any(map(str.isspace, gap)):
+            while not gap[len(gap) - 1 - tail].isspace():
+                tail += 1
+        out.append((start, end + len(gap[: len(gap) - tail].rstrip())))
+        start = end + len(gap) - tail
     return out
 
 
