@@ -40,7 +40,7 @@ PLACEHOLDERS = (
     r"\[\p{Lu}{2,}(?:[ _]\p{Lu}{2,})+\]",
     r"<(?:tên|số|ngày|họ|địa|chức|mã|name|company|insert|your|date|author|title)\b[^<>/=\n]{0,40}>",
     r"\bX{2}/X{2}/(?:20)?X{2,4}\b", r"\bdd/mm/yyyy\b",
-    r"(?<![\p{L}(%])%(?:s|d|\.\d?f)(?![\p{L}\d])",
+    r"(?<![\p{L}\d(%])%(?:s|d|\.\d?f)(?![\p{L}\d])",
     r"\bundefined\b(?=\s+(?:đồng|tỷ|triệu|USD|VND|%|\.|,|và|là))|\blà undefined\b|(?<!\p{L})NaN ?%|\bsinh năm (?:null|undefined|NaN)\b|\[object Object\]",
     r"(?:^|[\n.!?]\s*)(?:TODO|FIXME|TBD|XXX)\s?:", r"(?<!\.)\.{7,}\s*(?:đồng|tỷ|triệu|USD|VND|%|năm|của|ngày)", r"(?<!_)_{6,}\s*(?:đồng|tỷ|triệu|USD|VND|%)",
 )
