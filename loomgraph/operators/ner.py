@@ -41,6 +41,10 @@ def _compose_all(batch: pd.Series) -> pd.Series:
     return batch.map(lambda ts: [None if t is None else unicodedata.normalize("NFC", t) for t in ts], na_action="ignore")
 
 
+#: marked so that no filter is pushed below it and its calls are never repeated
+_compose_all = _compose_all.asNondeterministic()
+
+
 def composed(df: DataFrame, column: str = "entities") -> DataFrame:
     """Entity texts in composed form; only arrays that may change go to Python."""
     texts = F.transform(column, lambda e: e["text"])

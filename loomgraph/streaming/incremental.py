@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import ner, relations
+from loomgraph.plans.runtime import materialize
 
 ARTICLE_COLUMNS = ("id", "title", "content")
 
@@ -16,7 +17,7 @@ ARTICLE_COLUMNS = ("id", "title", "content")
 def article_triples(articles: DataFrame, provide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Triples of new articles from title and content: no score rounding, no filter, no dedup."""
     packs = ner.sentence_rows(articles.select(*[c for c in ARTICLE_COLUMNS if c in articles.columns]), ("title", "content"))
-    known = ner.normalized(provide(packs.withColumnRenamed("row_id", "row_id")))
+    known = ner.normalized(materialize(provide(packs)))  # the provider's work is done once and kept
     return relations.triples(known)
 
 

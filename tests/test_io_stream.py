@@ -12,9 +12,9 @@ TRIPLE = {"subject": "A", "subject_type": "T", "relation": "R", "obj": "B\nC", "
 
 def test_triples(spark, tmp_path):
     for name, body in (("list.json", [TRIPLE]), ("object.json", {"metadata": {}, "triples": [TRIPLE]})):
-        (tmp_path / name).write_text("﻿" + json.dumps(body), encoding="utf-8")
+        (tmp_path / name).write_text("\ufeff" + json.dumps(body), encoding="utf-8")
         assert readers.triples(spark, str(tmp_path / name)).first().obj == "B\nC"
-    (tmp_path / "t.csv").write_text('﻿subject,relation,object\nA,R,"x ""y""\nz"\n', encoding="utf-8")
+    (tmp_path / "t.csv").write_text('\ufeffsubject,relation,object\nA,R,"x ""y""\nz"\n', encoding="utf-8")
     row = readers.triples(spark, str(tmp_path / "t.csv")).first()
     assert (row.subject, row.object) == ("A", 'x "y"\nz')
     with pytest.raises(ValueError):
@@ -22,7 +22,7 @@ def test_triples(spark, tmp_path):
 
 
 def test_articles(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('﻿id,title,content\n1,"T, t","a\nb"\nx,,\n', encoding="utf-8")
+    (tmp_path / "a.csv").write_text('\ufeffid,title,content\n1,"T, t","a\nb"\nx,,\n', encoding="utf-8")
     rows = readers.articles_csv(spark, str(tmp_path / "a.csv")).collect()
     assert [tuple(r) for r in rows] == [(1, "T, t", "a\nb"), (None, None, None)]
 
