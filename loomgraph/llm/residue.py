@@ -1,18 +1,20 @@
 """Template residue, filler, and error or notice pages instead of articles.
 
 Method: texts are cut into segments (lines and sentences); numbers, addresses,
-dates and codes in them are masked; the masked segments are hashed to 128 bits
-and grouped over all documents, counting documents and sources (combined on the
-map side, so a message in a third of all documents is one row a task). Each
-distinct message is classified once, by rules of phrases and placeholders:
-``message`` (error, access, login, maintenance or script notices) counts if it
-recurs over documents and sources, or carries a technical signature of its own;
-``furniture`` (menus, copyright and code lines) neither helps nor harms.
+dates and codes in them are masked. Each segment is classified by rules of
+phrases and placeholders in one pass: ``message`` (error, access, login,
+maintenance or script notices); ``furniture`` (menus, copyright and code lines)
+neither helps nor harms. A message is sure by itself if it begins with its
+phrase or speaks to the reader and isn't reported, or carries a technical signature, however seldom
+it occurs; a phrase further on in a sentence may be reported, and is evidence
+only beside a sure message or if the masked segment, hashed to 128 bits, recurs
+over documents and sources. Only documents with a phrase reach that grouping.
 Placeholders and filler are found by form, since the names around them differ;
 what stands in quotation marks is written about, not left over.
 
 A document is excluded if a placeholder or filler is in it, or if messages are
-in it and what else it holds is no more than a heading.
+in it and what else it holds is no more than a heading; where none of its
+messages recurs or has a signature, running text in it must be less than they.
 
 Defined results: null, empty, blank and merely odd texts give no row; a
 document comes out once; rules are parameters.
@@ -29,6 +31,7 @@ MIN_DOCUMENTS = 3
 MIN_SOURCES = 2
 HEADING_CHARS = 160
 HEADING_PARTS = 4
+LEAD_CHARS = 24
 BROADCAST_MESSAGES = 100_000
 
 # Forms of unfilled placeholders.
@@ -73,6 +76,12 @@ MESSAGES = (
 )
 #: messages that are certain by themselves, recurring or not
 SIGNATURES = r"fatal error: |uncaught exception|^warning: \w+\(|<error><code>|^(?:0{3}) |error establishing a database|the requested url|internal server error|enable javascript|verify you are human|checking your browser"
+#: words by which a page speaks to its reader
+ADDRESS = r"(?<!\p{L})(?:bạn|quý (?:khách|vị|độc giả|bạn đọc)|vui lòng|chúng tôi|you|your|please)(?!\p{L})"
+#: words before a phrase that is reported
+REPORTED = r"(?<!\p{L})(?:khuyên|nhắc|nói|kể|cho (?:biết|hay|rằng)|said|says|told|advis\p{L}+|urg\p{L}+)(?!\p{L})"
+#: a phrase that also begins ordinary sentences
+WEAK = "rất tiếc"
 FURNITURE = (
     r"^[^|]{1,40}(?:\|[^|]{1,40}){1,9}$", r"^(?:©|\(c\)|copyright)", r"^(?:quay lại|về) trang chủ", r"^tin khác:",
     r"^\W*(?:mã yêu cầu|mã lỗi|ray id|request id|reference|id|ref|nginx|apache|mã)?[\W_]*(?:[#/.0-9a-z]|⟨code⟩|⟨address⟩){0,40}\W*$", r"^\W*$",
@@ -96,7 +105,7 @@ def masked(text: Column) -> Column:
 
 
 def segments(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, seg_no, seg, h1, h2``: lines and sentences with the hash of their masked form."""
+    """``doc_id, source, seg_no, seg, norm, h1, h2``: lines and sentences with their masked form and its hash."""
     cut = F.split(F.col("text"), r"[\r\n]+|(?<=[.!?。！？…])\s+|(?<=[。！？])")
     segs = documents.where(F.col("text").rlike(r"(?U)\S")).select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.posexplode(cut).alias("seg_no", "seg")
@@ -109,16 +118,25 @@ def _any(column: Column, patterns: tuple[str, ...], flags: str = "(?iu)") -> Col
     return column.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
-def messages(segs: DataFrame) -> DataFrame:
-    """``h1, h2, kind``: classified messages among the distinct masked segments."""
-    by_source = segs.groupBy("h1", "h2", "source").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("norm"))
-    groups = by_source.groupBy("h1", "h2").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"), F.min("norm").alias("norm")
-    )
+def classified(segs: DataFrame) -> DataFrame:
+    """``segs`` with ``kind``: signature, sure or weak message, furniture, or null."""
     bare = F.regexp_replace("norm", _QUOTED, " ")
-    wide = (F.col("n") >= MIN_DOCUMENTS) & (F.col("sources") >= MIN_SOURCES)
-    kind = F.when((wide & _any(bare, MESSAGES)) | _any(bare, (SIGNATURES,)), "message").when(_any(F.col("norm"), FURNITURE), "furniture")
-    return groups.select("h1", "h2", kind.alias("kind")).where("kind is not null")
+    leads = rf"^.{{0,{LEAD_CHARS}}}(?:{'|'.join(f'(?:{p})' for p in MESSAGES)})"
+    told = _any(F.col("bare"), (rf"{REPORTED}.*(?:{'|'.join(f'(?:{p})' for p in MESSAGES)})",))
+    sure = ~told & _any(F.col("bare"), (ADDRESS, leads)) & _any(F.regexp_replace("bare", WEAK, " "), MESSAGES)
+    kind = (
+        F.when(_any(F.col("bare"), (SIGNATURES,)), "signature")
+        .when(_any(F.col("bare"), MESSAGES), F.when(sure, "sure").otherwise("weak"))
+        .when(_any(F.col("norm"), FURNITURE), "furniture")
+    )
+    return segs.withColumn("bare", bare).withColumn("kind", kind).drop("bare", "norm")
+
+
+def recurring(found: DataFrame) -> DataFrame:
+    """``h1, h2`` of the messages that stand in enough documents and sources; ``found`` has a row a document and message."""
+    by_source = found.groupBy("h1", "h2", "source").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_source.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"))
+    return groups.where((F.col("n") >= MIN_DOCUMENTS) & (F.col("sources") >= MIN_SOURCES)).select("h1", "h2")
 
 
 def residue_form(text: Column) -> Column:
@@ -127,23 +145,37 @@ def residue_form(text: Column) -> Column:
     return _any(bare, PLACEHOLDERS, "(?u)") | _any(bare, FILLER)
 
 
+def message_pages(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of the documents that hold messages and no more than a heading besides."""
+    kind, length = F.col("kind"), F.col("length")
+    said, other = kind.isin("signature", "sure", "weak"), kind.isNull()
+    running = other & F.col("running")
+    dense = F.length(F.regexp_replace("seg", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", ""))  # a sign says as much as three letters
+    segs = classified(segments(docs)).select(
+        "doc_id", "source", "kind", "h1", "h2", (F.length("seg") + 2 * dense).alias("length"),
+        ((F.col("seg_no") > 0) & F.col("seg").rlike(r"(?U)[.!?…。！？]\W*$")).alias("running"),
+    )
+    pages = segs.groupBy("doc_id", "source").agg(
+        F.collect_set(F.when(said, F.struct("h1", "h2"))).alias("found"),  # bounded by the length of one text
+        F.max(kind == "signature").alias("signed"), F.max(kind == "sure").alias("sure"),
+        F.sum(F.when(said, length).otherwise(0)).alias("said"),
+        F.sum(F.when(other, length).otherwise(0)).alias("rest"), F.sum(F.when(other, 1).otherwise(0)).alias("rests"),
+        F.sum(F.when(running, length).otherwise(0)).alias("running"),
+    )
+    pages = materialize(pages.where(F.size("found") > 0))
+    found = pages.select("doc_id", "source", F.explode("found").alias("m")).select("doc_id", "source", "m.h1", "m.h2")
+    known = materialize(recurring(found))
+    known = F.broadcast(known) if known.count() <= BROADCAST_MESSAGES else known
+    wide = found.join(known, ["h1", "h2"]).select("doc_id").distinct().withColumn("wide", F.lit(True))
+    few = (F.col("rest") <= HEADING_CHARS) & (F.col("rests") <= HEADING_PARTS)
+    whole = F.coalesce("sure", F.lit(False)) & (F.col("running") < F.col("said"))
+    return pages.where(few).join(wide, "doc_id", "left").where(F.coalesce("signed", F.lit(False)) | F.coalesce("wide", F.lit(False)) | whole).select("doc_id")
+
+
 def excluded(documents: DataFrame) -> DataFrame:
     """``doc_id, reason`` of every document to be excluded."""
     docs = documents.select("doc_id", "source", "text")
-    segs = segments(docs)
-    kinds = materialize(messages(segs))
-    kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST_MESSAGES else kinds
-    judged = segs.select("doc_id", "seg", "h1", "h2").join(kinds, ["h1", "h2"], "left")
-    other = F.when(F.col("kind").isNull(), F.length("seg")).otherwise(0)
-    pages = (
-        judged.groupBy("doc_id")
-        .agg(
-            F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).alias("hits"),
-            F.sum(other).alias("rest"), F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("rests"),
-        )
-        .where((F.col("hits") > 0) & (F.col("rest") <= HEADING_CHARS) & (F.col("rests") <= HEADING_PARTS))
-        .select("doc_id", F.lit("message").alias("reason"))
-    )
+    pages = message_pages(docs).select("doc_id", F.lit("message").alias("reason"))
     forms = docs.where(residue_form(F.col("text"))).select("doc_id", F.lit("residue").alias("reason"))
     return forms.unionByName(pages).groupBy("doc_id").agg(F.max("reason").alias("reason"))
 

@@ -23,3 +23,19 @@ def test_documents(spark):
     assert {d for d, r in got.items() if r == "residue"} == set(range(len(BAD)))
     assert {d for d, r in got.items() if r == "message"} == {200 + 10 * k + i for k in range(2) for i in range(5)}
     assert residue.excluded(df.limit(0)).count() == 0
+
+
+ONCE = [
+    "Tập đoàn An bán cổ phần\nPhiên làm việc đã hết hạn. Bạn cần đăng nhập để đọc tiếp nội dung này.\nĐăng nhập | Đăng ký | Quên mật khẩu", "Hệ thống đang bảo trì. Quý độc giả vui lòng quay lại sau 10h17.\nnhip2.example",
+    "Access denied. You have been rate limited. Too many requests from your network, retry after 81 seconds.", "Nội dung này không khả dụng tại khu vực của bạn.\nThis content is not available in your region. (7929)",
+    "Your browser is not supported. Upgrade it or turn on scripts to read an3.example.", "Doanh nghiệp bảo hiểm gặp khó\n502 Bad Gateway\nnginx/2.26.1",
+]
+REPORTED = "望砚科技は工場を建設すると発表した。Ông Richard An khuyên khách bật JavaScript và cookie khi mở ví của Quỹ Hát.谈判还在继续。"
+
+
+def test_message_pages_need_no_recurrence(spark):
+    rows = [(i, t, f"s{i}") for i, t in enumerate(ONCE)] + [(50, REPORTED, "s")]
+    rows += [(100 + i, "Không tìm thấy trang\nTrang bạn yêu cầu không tồn tại hoặc đã bị xóa.", "own") for i in range(4)]  # a publisher's own notice
+    rows += [(200, "An khuyên khách bật JavaScript. " * 4, "a"), (201, "An khuyên khách bật JavaScript. Giá tăng.", "b")]  # two documents, five places
+    got = {r.doc_id for r in residue.excluded(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == set(range(len(ONCE))) | set(range(100, 104))
