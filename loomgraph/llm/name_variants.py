@@ -1,14 +1,17 @@
 """Variant spellings of persons and organisations, linked by a set-similarity join.
 
 Method: names are parsed (legal forms, titles and branch words apart; see the
-fixed values below), their core tokens put in one order, and turned into sets of
-token q-grams: for names of short tokens, every choice of all but one token with
-its place (a name that lost one token to a typo or an initial still shares one),
-for long tokens their character 4-grams. The sets are joined on prefixes only:
-with grams in global order of frequency, two sets that overlap in at least
-``need`` grams share one among their first ``size - need + 1``, so frequent
-grams are hardly ever joined on. Candidates are verified by a weighted soft
-token similarity in which rare tokens count more; a pair must also agree in
+fixed values below) and their core tokens put in one order. Each token has keys
+such that any two tokens which the verification may accept share one: the token
+with each letter left out (one edit), for long tokens the first and last letters
+likewise (two edits leave one end with one at most), other initial sounds, and
+the full forms of short names. Candidates are verified by a weighted soft token
+similarity in which rare tokens count more, so of the rarest tokens some must be
+matched: two, if those without the heaviest hold more than 1 - ENOUGH of the
+weight, else one. Names are joined on pairs, or else on single keys, of these
+tokens against all tokens of the other name. A token met by an initial has no
+such key; there the other name's tokens have, and two names with initials are
+joined on single keys; initials alone make no match. A pair must also agree in
 class, legal form and branch. Verified links are closed to components, since
 two damaged spellings may be linked only through the sound one; the components
 are found by label propagation over tables kept in the shared checkpoint folder.
@@ -21,6 +24,7 @@ never linked to an organisation, nor a branch to its parent.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,7 +39,6 @@ from loomgraph.plans.runtime import materialize, table
 
 ENOUGH = 0.8
 LONG = 8
-GRAM = 4
 SALTS = 8
 
 # Legal forms (without accents), by kind.
@@ -141,18 +144,52 @@ def _person_order(core: list[str], flat: list[str], before_comma: int, titles: i
     return core, flat
 
 
-def grams(flat: list[str]) -> tuple[list[str], int]:
-    """Token q-grams of a parsed name and the overlap that two variants must have."""
-    long = max(flat, key=len)
-    if len(long) >= LONG + 2:
-        return sorted({long[i : i + GRAM] for i in range(len(long) - GRAM + 1)}), max(1, len(long) - GRAM + 1 - 2 * GRAM)
+def token_keys(t: str) -> set[str]:
+    """Keys of a token without accents, one of which any token of some similarity shares, but for initials."""
+    out = {t, *(f"={f}" for f in _formal.get(t, ()))} | ({f"={t}"} if t in SHORT_FORMS else set())
+    if len(t) <= LONG:  # the shorter of two tokens has less than LONG letters: one edit
+        out |= {t[:i] + t[i + 1 :] for i in range(len(t))}
+    if len(t) >= LONG:  # two edits: one end has one at most
+        for end, word in (("<", t), (">", t[::-1])):
+            out |= {end + word[:3], *(end + word[:i] + word[i + 1 : 4] for i in range(4))}
+    for x, y in (*CONFUSED, *((y, x) for x, y in CONFUSED)):
+        if t.startswith(x):
+            out.add(y + t[len(x) :])
+    return out
+
+
+def name_keys(cls: str, flat: list[str], w: list[float]) -> dict[str, bool]:
+    """Keys of a name, and whether it looks for others by them (all are found by them)."""
     n = len(flat)
-    place = ["e" if i in (0, n - 1) else str(i) for i in range(n)]
-    named = [f"{p}:{t}" for p, t in zip(place, flat, strict=True)]
-    whole = [x for x, t in zip(named, flat, strict=True) if len(t) > 1]
-    out = {f"{n}|" + " ".join(sorted(whole[:i] + whole[i + 1 :])) for i in range(len(whole))} if len(whole) == n and n > 2 else set()
-    out |= {f"{n}|" + " ".join(sorted(whole))} if len(whole) < n or n <= 2 else set()
-    return sorted(out), 1
+    words = sorted((i for i in range(n) if len(flat[i]) > 1), key=lambda i: (-w[i], i))
+    keys = {i: token_keys(flat[i]) for i in words}
+    few, pairs = _rarest([w[i] for i in words], (1 - ENOUGH) * sum(w))
+    first, initials = set(words[:few]), len(words) < n
+    out: dict[str, bool] = {}
+    for mode in {"P": "p", "O": "o", "U": "po"}[cls]:
+        at = (lambda *i: f"{n}.{'.'.join(map(str, i))}") if mode == "o" else lambda *_: ""
+        for i in words:
+            for k in keys[i]:
+                out[f"{mode}1{at(i)}:{k}"] = not pairs and i in first
+                if initials:
+                    out[f"{mode}j{at(i)}:{k}"] = True
+        for i, j in itertools.combinations(sorted(words), 2):
+            for k, m in itertools.product(keys[i], keys[j]):
+                x, y = (k, m) if mode == "o" or k < m else (m, k)
+                key = f"{mode}2{at(i, j)}:{x}|{y}"
+                out[key] = out.get(key, False) or (pairs and i in first and j in first)
+    return out
+
+
+def _rarest(w: list[float], enough: float) -> tuple[int, bool]:
+    """How many of the heaviest tokens to take, and whether two of them must be matched rather than one."""
+    for few in range(2, len(w) + 1):
+        if sum(w[1:few]) > enough * (1 + 1e-9):
+            return few, True
+    for few in range(1, len(w) + 1):
+        if sum(w[:few]) > enough * (1 + 1e-9):
+            return few, False
+    return len(w), False
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,13 +199,11 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got = parse(name, etype) if name and name.strip() else None
             if got:
                 cls, form, branch, core, flat = got
-                g, need = grams(flat)
-                if g:
-                    rows.append((node_id, cls, form, branch, core, flat, g, need))
-        yield pd.DataFrame(rows, columns=["node_id", "cls", "form", "branch", "core", "flat", "grams", "need"])
+                rows.append((node_id, cls, form, branch, core, flat))
+        yield pd.DataFrame(rows, columns=["node_id", "cls", "form", "branch", "core", "flat"])
 
 
-_SCHEMA = "node_id bigint, cls string, form string, branch string, core array<string>, flat array<string>, grams array<string>, need int"
+_SCHEMA = "node_id bigint, cls string, form string, branch string, core array<string>, flat array<string>"
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -220,12 +255,14 @@ def token_similarity(a: str, b: str, fa: str, fb: str) -> float:
 def _aligned(x: tuple, y: tuple) -> float:
     (ca, fa, wa), (cb, fb, wb) = x, y
     got = whole = 0.0
+    words = False  # initials alone are no evidence
     for a, p, u, b, q, v in zip(ca, fa, wa, cb, fb, wb, strict=True):
         s = token_similarity(a, b, p, q)
         w = min(u, v) if s else max(u, v)
         got += w * s
         whole += w
-    return got / whole if whole else 0.0
+        words |= s > 0 and min(len(p), len(q)) > 1
+    return got / whole if whole and words else 0.0
 
 
 def name_similarity(ca: list[str], fa: list[str], wa: list[float], cb: list[str], fb: list[str], wb: list[float], person: bool) -> float:
@@ -277,30 +314,29 @@ def parsed_names(nodes: DataFrame) -> DataFrame:
     return materialize(names.join(weights, "node_id"))
 
 
-def prefixes(names: DataFrame) -> DataFrame:
-    """``gram, node_id``: the rarest grams of each name, as many as the overlap demands."""
-    places = names.select("node_id", "need", F.explode("grams").alias("gram"))
-    freq = places.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        places.join(freq, "gram").groupBy("node_id", "need")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))  # bounded by the length of one name
-    )
-    first = F.slice("g", 1, F.greatest(F.lit(1), F.size("g") - F.col("need") + 1))
-    return ordered.select("node_id", F.explode(F.transform(first, lambda g: g["gram"])).alias("gram"))
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for node_id, cls, flat, w in zip(pdf["node_id"], pdf["cls"], pdf["flat"], pdf["w"], strict=True):
+            keys = name_keys(cls, list(flat), list(w))
+            yield pd.DataFrame({"node_id": node_id, "key": list(keys), "looks": list(keys.values())})
 
 
 def candidates(names: DataFrame) -> DataFrame:
-    """``a, b``: pairs of names that share a prefix gram; one side of a frequent gram is spread over salts."""
-    keys = prefixes(names)
-    left = keys.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int")).withColumnRenamed("node_id", "a")
-    right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("node_id", "b")
-    return left.join(right, ["gram", "salt"]).where("a < b").select("a", "b").distinct()
+    """``a, b``: pairs of names that share a key by which one looks for the other; a frequent key is spread over salts."""
+    keyed = names.select("node_id", "cls", "flat", "w").repartition("node_id").mapInPandas(_keyed, "node_id bigint, key string, looks boolean")
+    keys = materialize(keyed.select("node_id", F.xxhash64("key").alias("key"), "looks"))
+    left = keys.where("looks").select(F.col("node_id").alias("x"), "key")
+    # keys of one name only meet nothing
+    shared = keys.groupBy("key").agg(F.min("node_id").alias("m"), F.max("node_id").alias("n")).where("m < n").select("key").hint("merge")
+    left = left.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    right = keys.join(shared, "key").select(F.col("node_id").alias("y"), "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return left.join(right.hint("merge"), ["key", "salt"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(names: DataFrame) -> DataFrame:
     """Verified links ``a, b, cls_a, cls_b``."""
     side = lambda s: names.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "form", "branch", "core", "flat", "w")], F.col("node_id").alias(s))
-    pairs = candidates(names).join(side("a"), "a").join(side("b"), "b")
+    pairs = materialize(candidates(names)).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     forms = (F.col("form_a") == "") | (F.col("form_b") == "") | F.arrays_overlap(F.split("form_a", " "), F.split("form_b", " "))
     classes = (F.col("cls_a") == F.col("cls_b")) | (F.col("cls_a") == "U") | (F.col("cls_b") == "U")
     fit = pairs.where(classes & (F.col("branch_a") == F.col("branch_b")) & forms)

@@ -40,3 +40,30 @@ def test_edits(a, b, most, want):
 def test_rare_tokens_count_more():
     same = lambda wa, wb: nv.name_similarity(["a1", "bb", "cc"], ["a1", "bb", "cc"], wa, ["zz", "bb", "cc"], ["zz", "bb", "cc"], wb, True)
     assert same([1.0, 1.0, 1.0], [1.0, 1.0, 1.0]) > same([9.0, 1.0, 1.0], [1.0, 1.0, 1.0])
+
+
+SHORT = [
+    ("Jon Smith", "John Smith"), ("Bob Lee", "Robert Lee"), ("J. Smith", "John Smith"), ("John F. Smith", "John Smith"), ("Christopher Lee", "Chris Lee"),
+    ("Rác N. Chạt Mộc", "R. Nhác Chạt Mộc"), ("kovdreyomirewim Lee", "kovrdeyoimrewim Lee"), ("Jonn Smyth", "John Smith"), ("Marlowens Kit", "Marlowenst Kit"),
+]
+
+
+@pytest.mark.parametrize("a,b", SHORT)
+def test_similar_names_share_a_key(spark, a, b):
+    keys = []
+    for name in (a, b):
+        cls, _, _, core, flat = nv.parse(name, "PERSON")
+        keys.append((core, flat, [1.0] * len(flat), nv.name_keys(cls, flat, [1.0] * len(flat))))
+    (ca, fa, wa, ka), (cb, fb, wb, kb) = keys
+    assert nv.name_similarity(ca, fa, wa, cb, fb, wb, True) >= nv.ENOUGH
+    assert any(ka[k] or kb[k] for k in ka.keys() & kb.keys())
+
+
+def test_short_names_are_linked(spark):
+    rows = [(i, n, "PERSON") for i, n in enumerate(["Jon Smith", "John Smith", "Bob Lee", "Robert Lee", "Christopher Kim", "Chris Kim", "John F. Dorn", "J. Dorn", "John Dorn", "Anna Brandt"])]
+    got = {r.node_id: r.entity_id for r in nv.entities(spark.createDataFrame(rows, "node_id long, node string, entity_type string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+
+
+def test_initials_alone_are_no_evidence():
+    assert nv.name_similarity(["john", "s"], ["john", "s"], [1.0] * 2, ["j", "smith"], ["j", "smith"], [1.0] * 2, True) == 0.0
