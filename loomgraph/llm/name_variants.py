@@ -1,25 +1,32 @@
 """Variant spellings of persons and organisations, linked by a set-similarity join.
 
 Method: names are parsed (legal forms, titles and branch words apart; see the
-fixed values below) and their core tokens put in one order. Each token has keys
-such that any two tokens which the verification may accept share one: the token
-with each letter left out (one edit), for long tokens the first and last letters
-likewise (two edits leave one end with one at most), other initial sounds, and
-the full forms of short names. Candidates are verified by a weighted soft token
-similarity in which rare tokens count more, so of the rarest tokens some must be
-matched: two, if those without the heaviest hold more than 1 - ENOUGH of the
-weight, else one. Names are joined on pairs, or else on single keys, of these
-tokens against all tokens of the other name. A token met by an initial has no
-such key; there the other name's tokens have, and two names with initials are
-joined on single keys; initials alone make no match. A pair must also agree in
-class, legal form and branch. Verified links are closed to components, since
-two damaged spellings may be linked only through the sound one; the components
-are found by label propagation over tables kept in the shared checkpoint folder.
-
-Defined results: null or blank names, and names of products, events and places,
-give no pair; a name of unknown type joins persons or organisations only through
-what it is written like; equal names under different ids are pairs; a person is
-never linked to an organisation, nor a branch to its parent.
+fixed values below) and equal parses fall together. The distinct tokens, far
+fewer than the names, are joined with one another on their padded q-grams: the
+grams of a token are put in order of rarity and only a prefix of them is looked
+up, as long as the most edits can destroy, and one more; what meets is checked
+by edit distance. A token is then found under itself and under every similar
+token that is more frequent, so a spelling and its typos share a key while a
+frequent token has few keys.
+
+Names are joined on these keys by a second prefix filter, over tokens: rare
+tokens weigh more, and two names can reach ``ENOUGH`` only if so many of the
+heaviest tokens agree that at least one, two or three of a prefix of them must
+be met at once. Keys are therefore single tokens, pairs or triples of them, the
+most that the weights allow, and a family name that a third of all names bear
+is no key by itself. What meets is verified by a weighted soft token similarity
+with the tokens aligned; tokens of only one name count against it with their
+weight. A pair must also agree in class, legal form and branch. Verified links
+are closed to components, since two damaged spellings may be linked only through
+the sound one; the components are found by label propagation over tables kept in
+the shared checkpoint folder.
+
+Defined results: null or blank names, names of products, events and places, and
+names of initials only give no pair; a name of unknown type joins persons or
+organisations only through what it is written like; equal names under different
+ids are pairs; names of one token need more likeness than others; a person is
+never linked to an organisation, nor a branch to its parent. Tokens that share
+no q-gram are not similar, whatever their edit distance.
 """
 
 from __future__ import annotations
@@ -27,11 +34,12 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.look_alikes import normalize_text
@@ -39,7 +47,16 @@ from loomgraph.plans.runtime import materialize, table
 
 ENOUGH = 0.8
 LONG = 8
-SALTS = 8
+#: tokens up to this length are joined on 2-grams, those from it on on 3-grams
+SHORT = 5
+#: letters a name of one token needs for an edit
+ALONE = 6
+#: most tokens met at once, and words of a name up to which three of them are keys
+TOGETHER, FEW_WORDS = 3, 5
+#: rows of one key that one task joins, before the key is split
+KEY_ROWS = 4096
+#: distinct tokens up to which their keys are broadcast (about 100 bytes each)
+BROADCAST_TOKENS = 200_000
 
 # Legal forms (without accents), by kind.
 FORMS = (
@@ -57,6 +74,8 @@ BRANCHES = (
     "chi nhanh [a-z0-9]+|mien (?:bac|nam|trung|tay|dong)|(?:khu vuc|van phong) [a-z0-9]+|bat dong san|nang luong|logistics|retail|"
     "ban le|chung khoan|bao hiem|tai chinh|securities|insurance|finance|energy|real estate|land|digital|viet nam|vietnam|quoc te|international"
 )
+# Words for what a firm does, which often come and go; they weigh a quarter.
+DESCRIPTORS = frozenset("trading services service solutions systems international enterprise industries industry thuong mai dich vu san xuat dau tu phat trien xuat nhap khau and va".split())
 # Given names and their short forms.
 SHORT_FORMS = {
     "alexander": "alex sandy xander", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "catherine": "cathy cate",
@@ -124,7 +143,7 @@ def parse(name: str, etype: str | None) -> tuple[str, str, str, list[str], list[
         return None
     keep = [i for i, t in enumerate(marks) if t != "\x00"]
     core, flat = [tokens[i] for i in keep], [bare[i] for i in keep]
-    if len(core) < 2 or all(len(t) == 1 for t in core):
+    if all(len(t) == 1 for t in core):
         return None
     cls = {"PERSON": "P", "ORGANIZATION": "O"}.get(kind, "O" if forms or branch else "P" if titled else "U")
     if cls != "O":
@@ -144,52 +163,63 @@ def _person_order(core: list[str], flat: list[str], before_comma: int, titles: i
     return core, flat
 
 
-def token_keys(t: str) -> set[str]:
-    """Keys of a token without accents, one of which any token of some similarity shares, but for initials."""
-    out = {t, *(f"={f}" for f in _formal.get(t, ()))} | ({f"={t}"} if t in SHORT_FORMS else set())
-    if len(t) <= LONG:  # the shorter of two tokens has less than LONG letters: one edit
-        out |= {t[:i] + t[i + 1 :] for i in range(len(t))}
-    if len(t) >= LONG:  # two edits: one end has one at most
-        for end, word in (("<", t), (">", t[::-1])):
-            out |= {end + word[:3], *(end + word[:i] + word[i + 1 : 4] for i in range(4))}
-    for x, y in (*CONFUSED, *((y, x) for x, y in CONFUSED)):
-        if t.startswith(x):
-            out.add(y + t[len(x) :])
-    return out
-
-
-def name_keys(cls: str, flat: list[str], w: list[float]) -> dict[str, bool]:
-    """Keys of a name, and whether it looks for others by them (all are found by them)."""
-    n = len(flat)
-    words = sorted((i for i in range(n) if len(flat[i]) > 1), key=lambda i: (-w[i], i))
-    keys = {i: token_keys(flat[i]) for i in words}
-    few, pairs = _rarest([w[i] for i in words], (1 - ENOUGH) * sum(w))
-    first, initials = set(words[:few]), len(words) < n
-    out: dict[str, bool] = {}
-    for mode in {"P": "p", "O": "o", "U": "po"}[cls]:
-        at = (lambda *i: f"{n}.{'.'.join(map(str, i))}") if mode == "o" else lambda *_: ""
-        for i in words:
-            for k in keys[i]:
-                out[f"{mode}1{at(i)}:{k}"] = not pairs and i in first
-                if initials:
-                    out[f"{mode}j{at(i)}:{k}"] = True
-        for i, j in itertools.combinations(sorted(words), 2):
-            for k, m in itertools.product(keys[i], keys[j]):
-                x, y = (k, m) if mode == "o" or k < m else (m, k)
-                key = f"{mode}2{at(i, j)}:{x}|{y}"
-                out[key] = out.get(key, False) or (pairs and i in first and j in first)
-    return out
-
-
-def _rarest(w: list[float], enough: float) -> tuple[int, bool]:
-    """How many of the heaviest tokens to take, and whether two of them must be matched rather than one."""
-    for few in range(2, len(w) + 1):
-        if sum(w[1:few]) > enough * (1 + 1e-9):
-            return few, True
-    for few in range(1, len(w) + 1):
-        if sum(w[:few]) > enough * (1 + 1e-9):
-            return few, False
-    return len(w), False
+def prefix(w: list[float], met: int) -> int | None:
+    """How many of the heaviest of ``w`` (falling) there must be so that ``met`` of them are matched in any similar name, None if there are too few."""
+    total, left = sum(w), 0.0
+    for m in range(met - 1, len(w)):
+        left += w[m]
+        if left > (1 - ENOUGH) * total * (1 + 1e-9):
+            return m + 1
+    return None
+
+
+def _mix(tag: int, parts: tuple[int, ...]) -> int:
+    h = tag
+    for x in sorted(parts):
+        h = (h * 0x9E3779B97F4A7C15 + (x & _ALL) + 1) & _ALL
+        h ^= h >> 29
+    return h - (1 << 64) if h >> 63 else h
+
+
+_ALL = (1 << 64) - 1
+
+
+def kind_of(flat: list[str]) -> int:
+    """Initials of a name (3 for more), and 4 more for a name of many words."""
+    words = sum(len(t) > 1 for t in flat)
+    return min(3, len(flat) - words) + (4 if words > FEW_WORDS else 0)
+
+
+def name_keys(cls: str, branch: str, flat: list[str], w: list[float], elements: list[list[int]], kinds: list[int]) -> tuple[set[int], set[int]]:
+    """Keys under which a name is found, and keys by which it looks for names of each of ``kinds`` with as many initials or more."""
+    found: set[int] = set()
+    looks: set[int] = set()
+    own = kind_of(flat)
+    words = sorted((i for i in range(len(flat)) if len(flat[i]) > 1), key=lambda i: (-w[i], i))
+    initials = sum(w) - sum(w[i] for i in words)
+    heavy = [w[i] for i in words]
+    for mode in {"P": (1,), "O": (2,), "U": (1, 2)}[cls]:
+        base = zlib.crc32(branch.encode()) << 8 | mode << 6
+
+        def keys(among: list[int], size: int, kind: int, base: int = base) -> Iterator[int]:
+            for some in itertools.combinations(among, size):
+                for parts in itertools.product(*(elements[i] for i in some)):
+                    yield _mix(base | kind << 2 | size, parts)
+
+        for size in range(1, TOGETHER if own & 4 else TOGETHER + 1):
+            found.update(keys(words, size, own))
+        for kind in kinds:
+            more = kind & 3
+            if more < own & 3:
+                continue
+            among, size = words, 1
+            for together in range(TOGETHER - 1 if kind & 4 else TOGETHER, 0, -1):
+                most = prefix([*heavy, initials], together + more) if more < 3 else None
+                if most is not None and most <= len(words):
+                    among, size = words[:most], together
+                    break
+            looks.update(keys(among, size, kind))
+    return found, looks
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,25 +282,56 @@ def token_similarity(a: str, b: str, fa: str, fb: str) -> float:
     return 0.0
 
 
+def similar_tokens(a: str, b: str) -> bool:
+    """Whether two tokens without accents, none an initial, may have a similarity above 0 (short forms of names apart)."""
+    most = 2 if min(len(a), len(b)) >= LONG else 1
+    return edits(a, b, most) <= most or _confused(a, b)
+
+
+def _ratio(pairs: list[tuple[float, float, float]], alone: float, words: bool) -> float:
+    got = sum(min(u, v) * s for s, u, v in pairs)
+    whole = sum(min(u, v) for _, u, v in pairs) + alone
+    return got / whole if whole and words else 0.0
+
+
 def _aligned(x: tuple, y: tuple) -> float:
+    """Similarity with the tokens of both names in their order: place by place if they have as many, else by the best alignment."""
     (ca, fa, wa), (cb, fb, wb) = x, y
-    got = whole = 0.0
-    words = False  # initials alone are no evidence
-    for a, p, u, b, q, v in zip(ca, fa, wa, cb, fb, wb, strict=True):
-        s = token_similarity(a, b, p, q)
-        w = min(u, v) if s else max(u, v)
-        got += w * s
-        whole += w
-        words |= s > 0 and min(len(p), len(q)) > 1
-    return got / whole if whole and words else 0.0
+    n, m = len(fa), len(fb)
+    sim = lambda i, j: token_similarity(ca[i], cb[j], fa[i], fb[j])
+    if n == m:
+        places = [(i, i, sim(i, i)) for i in range(n)]
+    else:
+        best = [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + min(wa[i], wb[j]) * sim(i, j))
+        places, i, j = [], 0, 0
+        while i < n and j < m:
+            if best[i][j] == best[i + 1][j]:
+                i += 1
+            elif best[i][j] == best[i][j + 1]:
+                j += 1
+            else:
+                places.append((i, j, sim(i, j)))
+                i, j = i + 1, j + 1
+    pairs = [(s, wa[i], wb[j]) for i, j, s in places if s]
+    words = any(s and min(len(fa[i]), len(fb[j])) > 1 for i, j, s in places)  # initials alone are no evidence
+    if n == m:
+        alone = sum(max(wa[i], wb[j]) for i, j, s in places if not s)
+    else:
+        alone = sum(wa) + sum(wb) - sum(u + v for _, u, v in pairs)
+    return _ratio(pairs, alone, words)
 
 
 def name_similarity(ca: list[str], fa: list[str], wa: list[float], cb: list[str], fb: list[str], wb: list[float], person: bool) -> float:
     """Weighted soft token similarity under the best of the orders in which a name may stand."""
     x, y = (list(ca), list(fa), list(wa)), (list(cb), list(fb), list(wb))
-    if len(x[1]) != len(y[1]):
-        if not person:
-            return 0.0
+    if len(fa) == len(fb) == 1:
+        return _alone(ca[0], cb[0], fa[0], fb[0])
+    if min(len(fa), len(fb)) == 1 and person:
+        return 0.0
+    if len(x[1]) != len(y[1]) and person:
         drop = lambda t: tuple([v for v, f in zip(part, t[1], strict=True) if len(f) > 1] for part in t)
         longer, shorter = (x, y) if len(x[1]) > len(y[1]) else (y, x)
         middle = [i for i in range(1, len(longer[1]) - 1) if len(longer[1][i]) == 1]
@@ -279,17 +340,25 @@ def name_similarity(ca: list[str], fa: list[str], wa: list[float], cb: list[str]
             longer = tuple(part[:cut] + part[cut + 1 :] for part in longer)
         else:
             longer, shorter = drop(longer), drop(shorter)
-        if len(longer[1]) != len(shorter[1]) or len(longer[1]) < 2:
+        if min(len(longer[1]), len(shorter[1])) < 2:
             return 0.0
         x, y = longer, shorter
     best = _aligned(x, y)
     n = len(x[1])
-    if person and n > 1 and best < ENOUGH:
+    if person and n == len(y[1]) and n > 1 and best < ENOUGH:
         order = [n - 1, *range(1, n - 1), 0]
         best = max(best, _aligned(x, tuple([part[i] for i in order] for part in y)))
     return best
 
 
+def _alone(a: str, b: str, fa: str, fb: str) -> float:
+    """Similarity of two names of one token: the same but for accents, or an edit apart (two for long ones)."""
+    if fa == fb:
+        return 1.0 if a == b or a == fa or b == fb or len(fa) >= ALONE else 0.0
+    short = min(len(fa), len(fb))
+    return 0.9 if short >= ALONE and edits(fa, fb, 2 if short >= LONG + 2 else 1) <= (2 if short >= LONG + 2 else 1) else 0.0
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         score = [
@@ -300,37 +369,104 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["a", "b", "cls_a", "cls_b"]]
 
 
-def parsed_names(nodes: DataFrame) -> DataFrame:
-    """Parsed names with the weight of each core token: the rarer the token, the larger."""
-    names = materialize(nodes.select("node_id", "node", "entity_type").mapInPandas(_parsed, _SCHEMA))
-    total = max(names.count(), 1)
-    places = names.select("node_id", F.posexplode("flat").alias("at", "token"))
-    freq = places.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = (
-        places.join(freq, "token")
-        .select("node_id", F.struct("at", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w")).alias("p"))
-        .groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["w"]).alias("w"))  # as many as the name has tokens
-    )
-    return materialize(names.join(weights, "node_id"))
+def parsed_names(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members, names)``: the distinct parses under their smallest ``node_id``, and to which of them each node belongs."""
+    parts = ["cls", "form", "branch", "core", "flat"]
+    rows = materialize(nodes.select("node_id", "node", "entity_type").mapInPandas(_parsed, _SCHEMA).withColumn("h", F.xxhash64(*parts)))
+    names = materialize(rows.groupBy("h", *parts[:3], "core").agg(F.min("node_id").alias("name_id"), F.first("flat").alias("flat")))
+    members = rows.select("node_id", "h", *parts[:4]).join(names.select("name_id", "h", *parts[:4]), ["h", *parts[:4]]).select("node_id", "name_id")
+    return materialize(members), names.select(F.col("name_id").alias("node_id"), *parts)
+
 
+def grams(token: Column, q: int) -> Column:
+    """Distinct q-grams of a padded token with the q in front, so that grams of two lengths never meet."""
+    padded = F.concat(F.lit("^" * (q - 1)), token, F.lit("$" * (q - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.concat(F.lit(str(q)), F.substring(padded, i, F.lit(q)))))
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _check_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for node_id, cls, flat, w in zip(pdf["node_id"], pdf["cls"], pdf["flat"], pdf["w"], strict=True):
-            keys = name_keys(cls, list(flat), list(w))
-            yield pd.DataFrame({"node_id": node_id, "key": list(keys), "looks": list(keys.values())})
+        yield pdf[[similar_tokens(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)]]
+
+
+def similar_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """``a, b``: pairs a < b of similar tokens, by a prefix-filtered join on q-grams, and by initial sounds commonly confused.
+
+    An edit destroys at most q grams and a transposition q + 1, so two similar
+    tokens share one of the rarest (q + 1) * edits + 1 grams of each.
+    """
+    size = F.length("token")
+    most = F.when(size >= LONG, 2).otherwise(1)
+    sets = [
+        vocabulary.where(here).select("token", grams(F.col("token"), q).alias("g"), ((q + 1) * most + 1).alias("keep"))
+        for q, here in ((2, size <= SHORT), (3, size >= SHORT))
+    ]
+    each = sets[0].unionByName(sets[1]).select("token", "keep", F.explode("g").alias("gram"))
+    counted = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(counted, "gram").groupBy("token", "keep", F.substring("gram", 1, 1).alias("q")).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))  # the grams of one token
+    first = materialize(ordered.select("token", F.explode(F.slice("g", F.lit(1), F.col("keep"))).alias("g")).select("token", "g.gram"))
+    met = first.withColumnRenamed("token", "a").join(first.withColumnRenamed("token", "b").hint("merge"), "gram").where("a < b and abs(length(a) - length(b)) <= 2")
+    near = F.when(F.least(F.length("a"), F.length("b")) >= LONG, 2).otherwise(1)
+    close = met.where(F.levenshtein("a", "b") <= 2 * near).select("a", "b").distinct()  # a transposition is two plain edits
+    swapped = F.array_compact(F.array(*[
+        F.when(F.col("token").startswith(x), F.concat(F.lit(y), F.expr(f"substring(token, {len(x) + 1})"))) for u, v in CONFUSED for x, y in ((u, v), (v, u))
+    ]))
+    sounds = vocabulary.select(F.col("token").alias("a"), F.explode(swapped).alias("token")).join(vocabulary.select("token"), "token")
+    sounds = sounds.select(F.least("a", "token").alias("a"), F.greatest("a", "token").alias("b"))
+    return close.mapInPandas(_check_tokens, "a string, b string").unionByName(sounds).where("a <> b").distinct()
+
+
+def weighted_names(names: DataFrame) -> DataFrame:
+    """``names`` with the weight of each core token (the rarer, the larger) and the elements by which it is met: itself, its full forms, and similar tokens that are more frequent."""
+    total = max(names.count(), 1)
+    places = names.select("node_id", F.posexplode("flat").alias("at", "token"))
+    vocabulary = materialize(places.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    words = vocabulary.where("length(token) > 1")
+    pairs = similar_vocabulary(words)
+    df = lambda c: words.select(F.col("token").alias(c), F.col("df").alias(f"df_{c}"))
+    ranked = pairs.join(df("a"), "a").join(df("b"), "b")
+    up = F.struct("df_a", "a") < F.struct("df_b", "b")
+    hubs = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("token"), F.xxhash64(F.when(up, F.col("b")).otherwise(F.col("a"))).alias("e"))
+    full = F.create_map(*[F.lit(v) for t in sorted({*SHORT_FORMS, *_formal}) for v in (t, "|".join(sorted({f"={f}" for f in _formal.get(t, ())} | ({f"={t}"} if t in SHORT_FORMS else set()))))])
+    given = words.select("token", F.explode(F.split(F.try_element_at(full, F.col("token")), r"\|")).alias("f")).select("token", F.xxhash64("f").alias("e"))
+    own = vocabulary.select("token", F.xxhash64("token").alias("e"))
+    elements = own.unionByName(hubs).unionByName(given).groupBy("token").agg(F.collect_set("e").alias("elements"))  # similar words of one word
+    weight = F.log(1 + F.lit(float(total)) / F.col("df")) * F.when(F.col("token").isin(*sorted(DESCRIPTORS)), 0.25).otherwise(1.0)
+    known = materialize(vocabulary.join(elements, "token").select("token", weight.alias("w"), "elements"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
+    filled = places.join(known, "token").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("at", "w", "elements"))).alias("p"))  # the tokens of one name
+    return materialize(names.join(filled, "node_id").select(*names.columns, F.transform("p", lambda p: p["w"]).alias("w"), F.transform("p", lambda p: p["elements"]).alias("elements")))
+
+
+def _keyed(kinds: list[int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, keys, looking = [], [], []
+            for node_id, cls, branch, flat, w, elements in zip(*(pdf[c] for c in ("node_id", "cls", "branch", "flat", "w", "elements")), strict=True):
+                for looks, some in enumerate(name_keys(cls, branch, list(flat), list(w), [e.tolist() for e in elements], kinds)):
+                    ids += [node_id] * len(some)
+                    keys += some
+                    looking += [bool(looks)] * len(some)
+            yield pd.DataFrame({"node_id": np.array(ids, np.int64), "key": np.array(keys, np.int64), "looks": np.array(looking, bool)})
+
+    return run
 
 
 def candidates(names: DataFrame) -> DataFrame:
-    """``a, b``: pairs of names that share a key by which one looks for the other; a frequent key is spread over salts."""
-    keyed = names.select("node_id", "cls", "flat", "w").repartition("node_id").mapInPandas(_keyed, "node_id bigint, key string, looks boolean")
-    keys = materialize(keyed.select("node_id", F.xxhash64("key").alias("key"), "looks"))
-    left = keys.where("looks").select(F.col("node_id").alias("x"), "key")
-    # keys of one name only meet nothing
-    shared = keys.groupBy("key").agg(F.min("node_id").alias("m"), F.max("node_id").alias("n")).where("m < n").select("key").hint("merge")
-    left = left.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    right = keys.join(shared, "key").select(F.col("node_id").alias("y"), "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return left.join(right.hint("merge"), ["key", "salt"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """``a, b``: pairs of names of which one looks for the other by a key; a key of many rows is split by their number."""
+    size = F.size(F.filter("flat", lambda t: F.length(t) > 1))
+    kind = F.least(F.size("flat") - size, F.lit(3)) + F.when(size > FEW_WORDS, 4).otherwise(0)
+    kinds = sorted(r[0] for r in names.select(kind.alias("k")).distinct().collect())  # at most eight
+    spread = names.select("node_id", "cls", "branch", "flat", "w", "elements").repartition("node_id")
+    keys = materialize(spread.mapInPandas(_keyed(kinds), "node_id bigint, key bigint, looks boolean"))
+    count = keys.groupBy("key").agg(
+        F.max("looks").alias("some"), F.count_if(~F.col("looks")).alias("found"), F.min("node_id").alias("low"), F.max("node_id").alias("high")
+    )
+    shared = count.where("some and found > 0 and low < high").select("key", F.ceil(F.col("found") / KEY_ROWS).cast("int").alias("parts"))
+    placed = materialize(keys.join(shared, "key"))
+    left = placed.where("looks").select(F.col("node_id").alias("x"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = placed.where("not looks").select(F.col("node_id").alias("y"), "key", F.pmod(F.xxhash64("node_id"), F.col("parts")).cast("int").alias("part"))
+    return left.join(right.hint("merge"), ["key", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(names: DataFrame) -> DataFrame:
@@ -376,9 +512,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def entities(nodes: DataFrame) -> DataFrame:
     """``node_id, entity_id``: names that have a variant, with the smallest id among the variants."""
-    names = parsed_names(nodes)
+    members, parsed = parsed_names(nodes)
+    names = weighted_names(parsed)
     found = materialize(links(names))
-    return components(settle_unknown(found, names)).withColumnRenamed("component", "entity_id")
+    joined = components(settle_unknown(found, names)).withColumnsRenamed({"node_id": "name_id", "component": "entity_id"})
+    placed = materialize(members.join(joined, "name_id", "left").select("node_id", F.coalesce("entity_id", "name_id").alias("entity_id")))
+    several = placed.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity_id")
+    return placed.join(several, "entity_id").select("node_id", "entity_id")
 
 
 def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

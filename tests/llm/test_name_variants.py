@@ -49,14 +49,12 @@ SHORT = [
 
 
 @pytest.mark.parametrize("a,b", SHORT)
-def test_similar_names_share_a_key(spark, a, b):
-    keys = []
-    for name in (a, b):
-        cls, _, _, core, flat = nv.parse(name, "PERSON")
-        keys.append((core, flat, [1.0] * len(flat), nv.name_keys(cls, flat, [1.0] * len(flat))))
-    (ca, fa, wa, ka), (cb, fb, wb, kb) = keys
-    assert nv.name_similarity(ca, fa, wa, cb, fb, wb, True) >= nv.ENOUGH
-    assert any(ka[k] or kb[k] for k in ka.keys() & kb.keys())
+def test_similar_names_are_candidates(spark, a, b):
+    df = spark.createDataFrame([(0, a, "PERSON"), (1, b, "PERSON")], "node_id long, node string, entity_type string")
+    names = nv.weighted_names(nv.parsed_names(df)[1])
+    x, y = sorted(names.collect(), key=lambda r: r.node_id)
+    assert nv.name_similarity(x.core, x.flat, x.w, y.core, y.flat, y.w, True) >= nv.ENOUGH
+    assert [tuple(r) for r in nv.candidates(names).collect()] == [(0, 1)]
 
 
 def test_short_names_are_linked(spark):
