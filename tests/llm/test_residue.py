@@ -39,3 +39,33 @@ def test_message_pages_need_no_recurrence(spark):
     rows += [(200, "An khuyên khách bật JavaScript. " * 4, "a"), (201, "An khuyên khách bật JavaScript. Giá tăng.", "b")]  # two documents, five places
     got = {r.doc_id for r in residue.excluded(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == set(range(len(ONCE))) | set(range(100, 104))
+
+
+def _found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r.doc_id: r.reason for r in residue.excluded(df).collect()}
+
+
+def test_long_placeholders_and_quotations(spark):
+    long = "x" * 90
+    rows = [(1, f"{ARTICLE} {{{{ten_{long}}}}} báo lãi.", "a"), (2, f"{ARTICLE} [NHẬP {long} VÀO ĐÂY] báo lãi.", "a"), (3, f'{ARTICLE} Ông nói "{long} {{{{ten}}}} {long}" là mẫu.', "a")]
+    rows += [(4, "[" * 50000 + "{{" * 50000 + "INSERT", "a"), (5, ARTICLE + " vay ............ đồng của ngân hàng.", None), (6, "Xem https://a.example/{{duong_dan}} nhé.", "a")]
+    rows += [(7, "霁口での販売は過去最高となった！TODO: bổ sung số liệu.売上高は前年比増となった。", "a")]
+    assert _found(spark, rows) == dict.fromkeys((1, 2, 5, 6, 7), "residue")
+
+
+def test_error_pages_with_stack_frames(spark):
+    frames = "\n".join(f"#{i} /var/www/app/lib/File{i}.php({i}0): Class->method('Some long argument', Array)" for i in range(9))
+    rows = [(1, f"Fatal error: Uncaught Exception: no row in /var/www/app/index.php:12\nStack trace:\n{frames}\n#9 {{main}}", "a"), (2, f"{ARTICLE} {ARTICLE}\nFatal error: trang lỗi.", "b")]
+    assert _found(spark, rows) == {1: "message"}
+
+
+def test_repeats_in_one_document_are_one(spark):
+    line = "An khuyên khách bật JavaScript và cookie khi mở ví."
+    assert _found(spark, [(1, "\n".join([line] * 3), "a"), (2, line, "b"), (2, line, "b"), (3, line, None)]) == {1: "message", 2: "message", 3: "message"}
+    assert _found(spark, [(1, "\n".join([line] * 3), "a"), (2, line, "b"), (2, line, "b")]) == {}
+
+
+def test_every_rule_needs_one_of_its_literals():
+    for texts, marks in ((BAD, (*residue.PLACEHOLDER_MARKS, *residue.FILLER_MARKS)), (PAGES + ONCE, residue.MESSAGE_MARKS)):
+        assert all(any(m in t or m in t.lower() for m in marks) for t in texts)
