@@ -83,20 +83,22 @@ def from_rules(rows: DataFrame, entries: list[tuple[str, str, str, bool]]) -> Da
 
 
 def from_model(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], batch: int = 32) -> DataFrame:
-    """Entities by a model: ``load`` runs once a worker and gives a function from texts to entity dicts; a failing batch gives none."""
+    """Entities by a model: ``load`` runs once a worker and gives a function from texts to entity dicts; a failing batch gives none, and ``error`` says why."""
     key = uuid.uuid4().hex
-    schema = T.StructType([*rows.schema.fields, T.StructField("entities", ENTITIES)])
+    schema = T.StructType([*rows.schema.fields, T.StructField("entities", ENTITIES), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infer = _LOADED.get(key) or _LOADED.setdefault(key, load())
         for pdf in batches:
-            texts, out = pdf["text"].fillna("").tolist(), []
+            texts, out, errors = pdf["text"].fillna("").tolist(), [], []
             for at in range(0, len(texts), batch):
                 part = texts[at : at + batch]
                 try:
                     out += infer(part)
-                except Exception:
+                    errors += [None] * len(part)
+                except Exception as e:  # one bad batch must not end the pass
                     out += [[] for _ in part]
-            yield pdf.assign(entities=[[(e["text"], e["etype"], float(e["score"])) for e in es] for es in out])
+                    errors += [repr(e)] * len(part)
+            yield pdf.assign(error=errors, entities=[[(e["text"], e["etype"], float(e["score"])) for e in es] for es in out])
 
     return rows.mapInPandas(run, schema)

@@ -7,6 +7,7 @@ half-open in code points. Null text gives an empty array.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -31,9 +32,10 @@ def find_spans(text: str | None, compiled: list[tuple[str, re.Pattern]]) -> list
     """Matches of all patterns in their order; of matches with equal places the first stays."""
     found: dict[tuple[int, int], str] = {}
     low = (text or "").lower()
+    digit = re.search(r"\d", low)
     for etype, pattern in compiled:
         needs = rules.REQUIRED.get(pattern.pattern)
-        if needs and not any(w in low for w in needs):
+        if (needs and not any(w in low for w in needs)) or (not digit and pattern.pattern in rules.NUMERIC):
             continue
         for m in pattern.finditer(text or ""):
             found.setdefault(m.span(), etype)
@@ -125,11 +127,12 @@ class Matcher:
                     continue
                 found.append((start, end, etype, i))
         found.sort(key=lambda s: (s[0] - s[1], s[0], s[3]))
-        taken: list[tuple[int, int, str]] = []
+        taken: list[tuple[int, int, str]] = []  # in order of place, apart from one another
         for start, end, etype, _ in found:
-            if all(end <= a or b <= start for a, b, _ in taken):
-                taken.append((start, end, etype))
-        return sorted(taken)
+            k = bisect_left(taken, (start, end, etype))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end, etype))
+        return taken
 
     def __getstate__(self):
         return {"entries": self.entries, "window": self.window, "by_name": self.by_name, "automaton": None}
@@ -164,13 +167,14 @@ def model_spans(text: Column, entities: Column, least: float = 0.70) -> Column:
     """Spans of model entities (text, etype, score): labels mapped, low scores and MISCELLANEOUS dropped, placed at first occurrence."""
     from loomgraph.functions.text import lookup
 
-    kept = F.filter(entities, lambda e: (e["score"] >= least) & (F.length(F.trim(e["text"])) > 0) & (F.upper(e["etype"]) != rules.DROPPED_TYPE))
+    mapped = F.transform(entities, lambda e: F.struct(e["text"].alias("text"), lookup(e["etype"], rules.MODEL_LABELS, e["etype"]).alias("etype"), e["score"].alias("score")))
+    kept = F.filter(mapped, lambda e: (e["score"] >= least) & (F.length(F.trim(e["text"])) > 0) & (e["etype"] != rules.DROPPED_TYPE))
     placed = F.transform(
         kept,
         lambda e: F.struct(
             (F.instr(text, e["text"]) - 1).cast("int").alias("start"),
             (F.instr(text, e["text"]) - 1 + F.length(e["text"])).cast("int").alias("end"),
-            lookup(e["etype"], rules.MODEL_LABELS, e["etype"]).alias("etype"), F.lit(rules.PRIORITY["model"]).alias("priority"), e["score"].alias("score"),
+            e["etype"].alias("etype"), F.lit(rules.PRIORITY["model"]).alias("priority"), e["score"].alias("score"),
         ),
     )
     return F.coalesce(F.filter(placed, lambda s: s["start"] >= 0), _empty())

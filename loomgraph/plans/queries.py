@@ -506,7 +506,7 @@ def q_bio_string(spark, d):
 
 
 def _fixed(spark, d):
-    return materialize(_labelled(spark, d).withColumn("fixed", bio.fixed("bio")))
+    return materialize(_labelled(spark, d).withColumn("fixed", bio.fixed(F.col("bio"))))
 
 
 @query()
@@ -549,7 +549,8 @@ def q_no_entity(spark, d):
 
 
 def _records(spark, d):
-    return table(spark, d, "sentence_records").where("entities is not null").select(F.col("rec_id").alias("row_id"), "text", "entities")
+    rows = table(spark, d, "sentence_records").where("entities is not null")
+    return rows.select(F.col("rec_id").alias("row_id"), tx.normalize_text(F.col("text")).alias("text"), "entities")
 
 
 @query(

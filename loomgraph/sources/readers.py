@@ -53,15 +53,17 @@ def conll(spark: SparkSession, path: str) -> DataFrame:
     Fields are split at tabs if a line has one, else at white space; the first
     is the token, the last the label; lines of fewer than two fields are left out.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).withColumn("seq_id", F.monotonically_increasing_id())
-    # a separator line of blanks only is inside a block: cut there as well
-    parts = blocks.select("seq_id", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n[ \t]*\n")).alias("no", "block"))
+    # lines end with LF or CRLF; a line of blanks only also ends a sequence. Where no two plain line feeds stand
+    # together, as in CRLF files, the separator read by is CRLF twice: one look at the head of the file tells.
+    head = spark.read.text(path).limit(1000).agg(F.max(F.col("value").endswith("\r"))).first()[0]
+    blocks = spark.read.option("lineSep", "\r\n\r\n" if head else "\n\n").text(path).select(F.monotonically_increasing_id().alias("block_id"), F.regexp_replace("value", "\r", "").alias("value"))
+    parts = blocks.select("block_id", F.posexplode(F.split("value", "\n[ \t]*\n")).alias("no", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.length(F.trim(x)) > 0)
     fields = F.transform(lines, lambda x: F.when(x.contains("\t"), F.split(F.trim(x), "\t")).otherwise(F.split(F.trim(x), r"\s+")))
     good = F.filter(fields, lambda f: F.size(f) >= 2)
-    seqs = parts.select("seq_id", "no", good.alias("f")).where(F.size("f") > 0)
+    seqs = parts.select("block_id", "no", good.alias("f")).where(F.size("f") > 0)
     return seqs.select(
-        (F.col("seq_id") * 1_000_000 + F.col("no")).alias("seq_id"), F.transform("f", lambda x: F.element_at(x, 1)).alias("tokens"), F.transform("f", lambda x: F.element_at(x, -1)).alias("labels")
+        F.concat_ws(".", "block_id", "no").alias("seq_id"), F.transform("f", lambda x: F.element_at(x, 1)).alias("tokens"), F.transform("f", lambda x: F.element_at(x, -1)).alias("labels")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomgraph.functions import text as tx
 from loomgraph.operators import ner, relations
 from loomgraph.plans.runtime import materialize
 
@@ -15,8 +16,10 @@ ARTICLE_COLUMNS = ("id", "title", "content")
 
 
 def article_triples(articles: DataFrame, provide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Triples of new articles from title and content: no score rounding, no filter, no dedup."""
-    packs = ner.sentence_rows(articles.select(*[c for c in ARTICLE_COLUMNS if c in articles.columns]), ("title", "content"))
+    """Triples of new articles from normalized title and content: no score rounding, no filter, no dedup."""
+    have = [c for c in ARTICLE_COLUMNS if c in articles.columns]
+    clean = articles.select(*[c if c == "id" else tx.normalize_text(F.col(c)).alias(c) for c in have])
+    packs = ner.sentence_rows(clean, ("title", "content"))
     known = ner.normalized(materialize(provide(packs)))  # the provider's work is done once and kept
     return relations.triples(known)
 

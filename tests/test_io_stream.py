@@ -75,3 +75,38 @@ def test_model_provider(spark):
     load = lambda: lambda texts: [[{"text": t, "etype": "ORGANIZATION", "score": 0.9}] if t else [] for t in texts]
     got = {r.row_id: r.entities for r in ner.from_model(rows, load).collect()}
     assert got[1][0].text == "FPT" and got[2] == []
+
+
+def test_conll_line_ends(spark, tmp_path):
+    body = "An\tB-PERSON\nBình\tI-PERSON\n\nở O\n \nHuế x B-LOCATION\nbare\n"
+    want = [(["An", "Bình"], ["B-PERSON", "I-PERSON"]), (["Huế"], ["B-LOCATION"]), (["ở"], ["O"])]
+    for name, text in (("lf", body), ("crlf", body.replace("\n", "\r\n"))):
+        (tmp_path / name).write_bytes(text.encode())
+        rows = readers.conll(spark, str(tmp_path / name)).collect()
+        assert sorted((r.tokens, r.labels) for r in rows) == want and len({r.seq_id for r in rows}) == 3
+
+
+def test_new_articles_are_normalized(spark):
+    df = spark.createDataFrame([(1, "Giá\xa0vàng\u200b \u201ctăng\u201d", None)], "id long, title string, content string")
+    seen = []
+
+    def provide(rows):
+        seen.extend(r.text for r in rows.collect())
+        return rows.withColumn("entities", F.array().cast(ner.ENTITIES))
+
+    assert incremental.article_triples(df, provide).count() == 0
+    assert seen == ['Giá vàng "tăng"']
+
+
+def test_failing_model_batches_are_reported(spark):
+    def load():
+        def infer(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return [[{"text": t, "etype": "X", "score": 1}] for t in texts]
+
+        return infer
+
+    df = spark.createDataFrame([("a",), ("bad",)], "text string").repartition(1)
+    got = {r.text: (len(r.entities), r.error) for r in ner.from_model(df, load, batch=1).collect()}
+    assert got == {"a": (1, None), "bad": (0, "ValueError('no')")}

@@ -64,39 +64,78 @@ def test_spans_to_bio_and_back(spark):
     assert [(e.text, e.etype) for e in got[1].e] == [("An Bình", "PERSON")] and all(r.same for r in got)
 
 
-def test_fixes():
-    fix = bio.fix_labels
-    assert fix([("đồng/lít", "I-MONEY")]) == [("đồng", "B-MONEY"), ("/", "O"), ("lít", "O")]
-    assert fix([("tỷ", "B-MONEY"), ("phú", "I-MONEY")]) == [("tỷ", "O"), ("phú", "O")]
-    assert fix([("MacBook", "O"), ("Pro", "O")]) == [("MacBook", "B-PRODUCT"), ("Pro", "O")]
-    assert fix([("Google", "O"), ("Pixel", "O")]) == [("Google", "B-PRODUCT"), ("Pixel", "I-PRODUCT")]
-    assert fix([("ChatGPT", "B-ORGANIZATION")]) == [("ChatGPT", "B-PRODUCT")]
-    assert [x for _, x in fix([("Google", "O"), ("I/O", "O")])] == ["O", "O", "O", "O"]
-    assert fix([("x", "I-A"), ("y", "I-A"), ("z", "I-B")]) == [("x", "B-A"), ("y", "I-A"), ("z", "B-B")] and fix([]) == []
+def test_fixes(spark):
+    cases = [
+        ([("đồng/lít", "I-MONEY")], [("đồng", "B-MONEY"), ("/", "O"), ("lít", "O")]), ([("tỷ", "B-MONEY"), ("phú", "I-MONEY")], [("tỷ", "O"), ("phú", "O")]),
+        ([("MacBook", "O"), ("Pro", "O")], [("MacBook", "B-PRODUCT"), ("Pro", "O")]), ([("Google", "O"), ("Pixel", "O")], [("Google", "B-PRODUCT"), ("Pixel", "I-PRODUCT")]),
+        ([("ChatGPT", "B-ORGANIZATION")], [("ChatGPT", "B-PRODUCT")]), ([("Google", "O"), ("I/O", "O")], [("Google", "O"), ("I", "O"), ("/", "O"), ("O", "O")]),
+        ([("x", "I-A"), ("y", "I-A"), ("z", "I-B")], [("x", "B-A"), ("y", "I-A"), ("z", "B-B")]), ([], []),
+        ([("//a", "B-X"), ("/", "B-X"), ("km/h", "I-X")], [("/", "O"), ("/", "O"), ("a", "B-X"), ("/", "O"), ("km/h", "B-X")]),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)] + [(99, None)], "i int, b array<struct<token:string,label:string>>")
+    got = {r.i: r.f and [tuple(x) for x in r.f] if r.f is not None else None for r in df.select("i", bio.fixed(F.col("b")).alias("f")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)} | {99: None}
+
+
+def test_tokens_of_odd_texts():
+    words = lambda t: [w for w, _, _ in bio.cut_tokens(t)]
+    assert words("`mã` ...x) ..5, a(b ((«x»)).") == ["`mã`", "...x", ")", "..5,", "a(b", "(", "(", "«", "x", "»", ")", ")", "."]
+    assert words("m² 5². (.5) \u2028x") == ["m²", "5².", "(", ".5", ")", "x"]
+    assert len(words("." * 20000)) == 20000 and len(words("x" * 100000)) == 1
+
+
+RECORD = "row_id long, text string, entities array<struct<text:string,etype:string,score:double>>"
+PERSON, BIDV, VPB, FPT, HANOI = ("Trương Gia Bình", "PERSON"), ("BIDV", "ORGANIZATION"), ("VPBank", "ORGANIZATION"), ("FPT", "ORGANIZATION"), ("Hà Nội", "LOCATION")
 
 
-ORG = lambda t, s=1.0: {"text": t, "etype": "ORGANIZATION", "score": s}
+def _extracted(spark, rows):
+    rows = [(i, t, e if e is None else [(*x, 1.0) if len(x) == 2 else x for x in e]) for i, (t, e) in enumerate(rows)]
+    found = relations.extracted(spark.createDataFrame(rows, RECORD)).orderBy("row_id", "emit_no").collect()
+    return [(r.row_id, r.subject, r.relation, r.obj, r.confidence) if not r.error else (r.row_id, r.error) for r in found]
 
 
-def test_relations():
-    person = {"text": "Trương Gia Bình", "etype": "PERSON", "score": 1.0}
-    got = relations.extract("Ông Trương Gia Bình - Chủ tịch FPT phát biểu tại sự kiện.", [person, ORG("FPT")])
-    assert [(s, r, o, c) for s, _, r, o, _, c in got] == [("Trương Gia Bình", "LÃNH_ĐẠO", "FPT", 0.85), ("Trương Gia Bình", "LIÊN_QUAN", "FPT", 0.5)]
-    place = {"text": "Hà Nội", "etype": "LOCATION", "score": 1.0}
-    got = relations.extract("BIDV và VPBank ký kết hợp tác chiến lược tại Hà Nội.", [ORG("BIDV"), ORG("VPBank"), place])
-    assert [(s, o) for s, _, r, o, _, _ in got] == [("BIDV", "VPBank"), ("VPBank", "BIDV"), ("BIDV", "Hà Nội"), ("VPBank", "Hà Nội")] and {r for _, _, r, *_ in got} == {"LIÊN_QUAN"}
-    assert [t[-1] for t in relations.extract("a", [ORG("Ab", 1.0), ORG("Cd", 0.9998)])][0] == 0.5
-    assert [t[-1] for t in relations.extract("a", [ORG("Ab", 1.0), ORG("Cd", 0.9997)])][0] == 0.4999
-    assert relations.extract(None, []) == [] and relations.extract("x", None) == []
+def test_relations(spark):
+    got = _extracted(spark, [
+        ("Ông Trương Gia Bình - Chủ tịch FPT phát biểu tại sự kiện.", [PERSON, FPT]), ("BIDV và VPBank ký kết hợp tác chiến lược tại Hà Nội.", [BIDV, VPB, HANOI]),
+        ("a", [("Ab", "ORGANIZATION", 1.0), ("Cd", "ORGANIZATION", 0.9998)]), ("a", [("Ab", "ORGANIZATION", 1.0), ("Cd", "ORGANIZATION", 0.9997)]),
+        (None, [FPT]), ("x", None), ("x", []), (" ", [FPT, BIDV]), ("FPT hợp tác với BIDV.", [("FPT", "ORGANIZATION", float("nan")), BIDV]),
+        ("Doanh thu FPT đạt 12 tỷ đồng", [("Xyz", "PERSON", None)]), ("BIDV hợp tác với VPBank" + " x" * 100, [BIDV, VPB, BIDV]),
+    ])
+    assert got == [
+        (0, "Trương Gia Bình", "LÃNH_ĐẠO", "FPT", 0.85), (0, "Trương Gia Bình", "LIÊN_QUAN", "FPT", 0.5),
+        (1, "BIDV", "LIÊN_QUAN", "VPBank", 0.5), (1, "VPBank", "LIÊN_QUAN", "BIDV", 0.5), (1, "BIDV", "LIÊN_QUAN", "Hà Nội", 0.5), (1, "VPBank", "LIÊN_QUAN", "Hà Nội", 0.5),
+        (2, "Ab", "LIÊN_QUAN", "Cd", 0.5), (2, "Cd", "LIÊN_QUAN", "Ab", 0.5), (3, "Ab", "LIÊN_QUAN", "Cd", 0.4999), (3, "Cd", "LIÊN_QUAN", "Ab", 0.4999),
+        (8, "score is no number"), (9, "Doanh thu FPT", "CÓ_GIÁ_TRỊ", "12 tỷ đồng", 0.75),
+        (10, "BIDV", "HỢP_TÁC", "VPBank", 0.8), (10, "VPBank", "HỢP_TÁC", "BIDV", 0.8),
+    ]
 
 
-def test_cooccurrence_equals_extraction(spark):
+def test_cooccurrence_is_part_of_the_extraction(spark):
     text = "BIDV và VPBank tại Hà Nội."
     ents = [("BIDV", "ORGANIZATION", 1.0), ("VPBank", "ORGANIZATION", 0.9997), ("Hà Nội", "LOCATION", 0.9)]
-    df = spark.createDataFrame([(1, text, ents), (2, None, ents), (3, text, [])], "row_id long, text string, entities array<struct<text:string,etype:string,score:double>>")
-    native = sorted((r.subject, r.obj, r.confidence) for r in relations.cooccurrence(df).collect())
-    arrow = sorted((r.subject, r.obj, r.confidence) for r in relations.triples(df).where("relation = 'LIÊN_QUAN'").collect())
-    assert [x[:2] for x in native] == [x[:2] for x in arrow] and all(abs(a[2] - b[2]) <= 1e-4 for a, b in zip(native, arrow))
+    df = spark.createDataFrame([(1, text, ents), (2, None, ents), (3, text, [])], RECORD)
+    alone = sorted((r.subject, r.obj, r.confidence) for r in relations.cooccurrence(df).collect())
+    assert alone == sorted((r.subject, r.obj, r.confidence) for r in relations.triples(df).where("relation = 'LIÊN_QUAN'").collect()) and len(alone) == 4
+
+
+def test_verbs_lose_no_match():
+    import re
+
+    texts = ("FPT hợp tác với BIDV", "FPT tăng trưởng 20%/năm", "Ông An, CEO của FPT", "Hội chợ Sao diễn ra tại Hà Nội", "FPT có trụ sở tại Hà Nội", "FPT trị giá 5 tỷ USD")
+    for _, pattern, *_ in rules.RELATIONS:
+        verbs = re.search(r"\(\?:[^()]*\)", pattern)[0]
+        assert pattern.count(verbs) >= 1 and verbs in relations._verbs(pattern).replace("(?U)", "").replace(r"\p{L}\p{N}_", r"\w")
+        assert all(re.search(verbs, t) for t in texts if re.search(pattern, t))
+
+
+def test_miscellaneous_model_entities_are_dropped(spark):
+    df = spark.createDataFrame([("Tết ở Huế", [("Tết", "MISC", 0.99), ("Huế", "LOC", 0.9), ("ở", "PER", 0.1), ("Tết", None, 0.9)])], "t string, e array<struct<text:string,etype:string,score:double>>")
+    got = df.select(spans.model_spans(F.col("t"), F.col("e")).alias("s")).first().s
+    assert [(s.start, s.end, s.etype) for s in got] == [(6, 9, "LOCATION")]
+
+
+def test_digits_of_other_scripts():
+    assert {t for t, _ in found("tăng ２０ % và ５００ tỷ đồng")} >= {"２０ %", "５００ tỷ đồng"}
 
 
 def test_training(spark):
