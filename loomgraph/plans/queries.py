@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as tx
 from loomgraph.operators import bio, graph, ner, relations, reporting, spans, training, triples
 from loomgraph.plans import rules
+from loomgraph.plans import span_sql as sq
 from loomgraph.plans.runtime import ensure_checkpoint_dir, materialize, table
 from loomgraph.sources import readers
 from loomgraph.streaming import incremental
@@ -32,8 +33,7 @@ def query(sql: str | None = None):
 # ---- shared SQL --------------------------------------------------------------------------------
 
 
-def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_strip, _entity_sql = sq.strip, sq.entity
 
 
 def _filled(x: str, default: str) -> str:
@@ -58,14 +58,6 @@ f AS (SELECT min(triple_id) AS ord, subject, relation, obj, arg_max(struct_pack(
   FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, obj ORDER BY confidence, triple_id DESC) AS k FROM v) GROUP BY subject, relation, obj)"""
 
 
-def _entity_sql(x: str) -> str:
-    """SQL of the entity normalization (without composition)."""
-    base = rf"regexp_replace(regexp_replace({_strip(x)}, '[\s\p{{Z}}]{{2,}}', ' ', 'g'), '^[.,;:!?\"'']+|[.,;:!?\"'']+$', '', 'g')"
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ALIASES.items())
-    return rf"""(CASE WHEN {x} IS NULL OR {_strip(x)} = '' THEN '' ELSE coalesce(CASE lower({base}) {cases} ELSE NULL END,
-      CASE WHEN length({base}) < 2 OR length({base}) > 80 OR regexp_matches({base}, '^[\p{{Nd}}\s\p{{Z}}.,;:\-/]+$') THEN '' ELSE {base} END) END)"""
-
-
 # ---- triples and graph -------------------------------------------------------------------------
 
 
@@ -162,6 +154,61 @@ def q_edge_pick(spark, d):
     return graph.first_parallel(_multi(spark, d)).select("src", "dst", "relation", "confidence", "frequency")
 
 
+_RANKS = 40
+
+
+def _ranks_sql() -> str:
+    """Power iteration from the uniform vector, unrolled; the first vector that moved by less than the bound counts."""
+    steps = """
+n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM nd),
+wout AS MATERIALIZED (SELECT src, sum(weight) AS w FROM e GROUP BY 1),
+lk AS MATERIALIZED (SELECT e.src, dst, weight / w AS share FROM e JOIN wout USING (src)),
+r0 AS MATERIALIZED (SELECT node, 1 / n AS x, 1e9 AS moved FROM nd, n)"""
+    for k in range(1, _RANKS + 1):
+        steps += f""",
+r{k} AS MATERIALIZED (SELECT node, y AS x, sum(abs(y - x)) OVER () AS moved FROM (SELECT r.node, r.x,
+  0.85 * (coalesce(g, 0) + (SELECT coalesce(sum(x), 0) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM wout)) / n) + 0.15 / n AS y
+  FROM r{k - 1} r CROSS JOIN n LEFT JOIN (SELECT dst, sum(x * share) AS g FROM lk JOIN r{k - 1} z ON z.node = lk.src GROUP BY 1) ON dst = r.node))"""
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, _RANKS + 1))
+    return steps + f""",
+ra AS (SELECT * FROM ({every})),
+pr AS MATERIALIZED (SELECT node, x AS pagerank FROM ra WHERE k = (SELECT min(k) FROM ra, n WHERE moved < n * 1e-6))"""
+
+
+_DEPTH = 60
+
+
+def _between_sql() -> str:
+    """Brandes: numbers of shortest paths level by level from every source, dependencies back from the deepest level."""
+    steps = """
+bfs(s, v, d, sigma) USING KEY (s, v) AS (SELECT node, node, 0, 1.0::DOUBLE FROM nd UNION
+  (SELECT f.s, l.dst, any_value(f.d) + 1, sum(f.sigma) FROM bfs f JOIN l ON l.src = f.v WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs k WHERE k.s = f.s AND k.v = l.dst) GROUP BY f.s, l.dst)),
+paths AS MATERIALIZED (SELECT * FROM bfs),
+tree AS MATERIALIZED (SELECT a.s, a.v, b.v AS w, a.d, a.sigma / b.sigma AS part FROM paths a JOIN l ON l.src = a.v JOIN paths b ON b.s = a.s AND b.v = l.dst AND b.d = a.d + 1)"""
+    steps += f""",
+dep{_DEPTH} AS MATERIALIZED (SELECT s, v, CAST(0 AS DOUBLE) AS delta FROM paths WHERE false)"""
+    for d in range(_DEPTH - 1, 0, -1):
+        steps += f""",
+dep{d} AS MATERIALIZED (SELECT t.s, t.v, sum(part * (1 + coalesce(b.delta, 0))) AS delta FROM tree t LEFT JOIN dep{d + 1} b ON b.s = t.s AND b.v = t.w WHERE t.d = {d} GROUP BY 1, 2)"""
+    every = " UNION ALL ".join(f"SELECT v, delta FROM dep{d}" for d in range(1, _DEPTH))
+    return steps + f""",
+bt AS MATERIALIZED (SELECT node, coalesce(delta, 0) / ((SELECT count(*) FROM nd) - 1.0) / ((SELECT count(*) FROM nd) - 2.0) AS betweenness FROM nd LEFT JOIN (SELECT v, sum(delta) AS delta FROM ({every}) GROUP BY 1) ON v = node)"""
+
+
+_NODES = "nd AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS MATERIALIZED (SELECT DISTINCT src, dst FROM e)"
+_SCC = """
+reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON r.b = e.src),
+sc AS MATERIALIZED (SELECT node, least(node, coalesce(min(x.b), node)) AS scc FROM nd LEFT JOIN (SELECT p.a, p.b FROM reach p JOIN reach q ON p.a = q.b AND p.b = q.a) x ON x.a = node GROUP BY node)"""
+_METRICS_SQL = f"""{_TYPED}, {_NODES},{_ranks_sql()},{_between_sql()},
+mx AS MATERIALIZED (SELECT td.node, entity_type, in_degree, out_degree, deg.degree, round(betweenness, 12) AS betweenness, round(pagerank, 10) AS pagerank, ord
+  FROM td JOIN deg USING (node) JOIN bt USING (node) JOIN pr USING (node))"""
+
+
+def _top_sql(key: str, k: int = 20) -> str:
+    order = f"{key} DESC, degree DESC, betweenness DESC, pagerank DESC, lower(node) DESC, ord"
+    return f"SELECT node, entity_type, in_degree, out_degree, degree, betweenness, pagerank, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM mx ORDER BY {order} LIMIT {k}"
+
+
 _WCC = """
 both_ways AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 cc(node, wcc) USING KEY (node) AS (
@@ -180,47 +227,49 @@ def q_component_sizes(spark, d):
     return q_wcc(spark, d).groupBy("wcc").agg(F.count(F.lit(1)).alias("nodes")).orderBy(F.desc("nodes"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_WCC} SELECT node, wcc FROM cc")
 def q_wcc_joins(spark, d):
     """The same components by the iterative joins that serve graphs beyond the local bound."""
     return graph.weak_components(_edges(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES}, {_SCC} SELECT node, scc FROM sc")
 def q_scc(spark, d):
     return graph.measures(_edges(spark, d)).select("node", "scc")
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_ranks_sql()} SELECT node, round(pagerank, 10) AS pagerank FROM pr")
 def q_pagerank(spark, d):
     return graph.measures(_edges(spark, d)).select("node", F.round("pagerank", 10).alias("pagerank"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_between_sql()} SELECT node, round(betweenness, 12) AS betweenness FROM bt")
 def q_betweenness(spark, d):
     return graph.any_betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
 
 
 def _metrics(spark, d):
-    return materialize(graph.node_metrics(materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False)))
+    """Node metrics; centralities are rounded before anything is ordered, so that ties do not hang on the order of sums."""
+    rows = graph.node_metrics(materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False))
+    return materialize(rows.withColumns({"betweenness": F.round("betweenness", 12), "pagerank": F.round("pagerank", 10)}))
 
 
-@query()
+@query(f"WITH RECURSIVE {_METRICS_SQL} SELECT node, entity_type, in_degree, out_degree, degree, betweenness, pagerank FROM mx")
 def q_node_metrics(spark, d):
     return _metrics(spark, d).orderBy(*graph.base_order()).drop("ord")
 
 
-@query()
+@query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('degree')}")
 def q_top_degree(spark, d):
     return graph.top(_metrics(spark, d), "degree").drop("ord")
 
 
-@query()
+@query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('betweenness')}")
 def q_top_betweenness(spark, d):
     return graph.top(_metrics(spark, d), "betweenness").drop("ord")
 
 
-@query()
+@query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('pagerank')}")
 def q_top_pagerank(spark, d):
     return graph.top(_metrics(spark, d), "pagerank").drop("ord")
 
@@ -240,9 +289,11 @@ def q_graph_totals(spark, d):
     return _summary(spark, d).select("nodes", "edges_unique", F.round("density", 12).alias("density"), "weakly_connected_components", "relation_types", "largest_wcc")
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES}, {_WCC}, {_SCC} SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM e) AS edges_unique, "
+    "round((SELECT count(*) FROM e) / ((SELECT count(*) FROM nd) * ((SELECT count(*) FROM nd) - 1.0)), 12) AS density, (SELECT count(DISTINCT scc) FROM sc) AS strongly_connected_components, "
+    "(SELECT count(DISTINCT wcc) FROM cc) AS weakly_connected_components, (SELECT count(DISTINCT relation) FROM c) AS relation_types, (SELECT max(n) FROM (SELECT count(*) AS n FROM cc GROUP BY wcc)) AS largest_wcc")
 def q_graph_summary(spark, d):
-    return _summary(spark, d)
+    return _summary(spark, d).withColumn("density", F.round("density", 12))
 
 
 @query()
@@ -371,18 +422,7 @@ def q_incremental_merge(spark, d):
 
 # ---- text ----------------------------------------------------------------------------------------
 
-_SINGLE = {k: v for k, v in rules.CHAR_MAP.items() if len(v) == 1}
-_GONE = [k for k, v in rules.CHAR_MAP.items() if not v]
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-_NORMAL = (
-    rf"regexp_replace(regexp_replace(replace(translate(nfc_normalize(coalesce(text, '')), {_quoted(''.join(_SINGLE) + ''.join(_GONE))}, {_quoted(''.join(_SINGLE.values()))}), '…', '...'), "
-    r"'[ \t]{2,}', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
-)
+_quoted, _NORMAL = sq.quoted, sq.normal("text")
 
 
 @query(f"SELECT rec_id, {_NORMAL} AS normal FROM sentence_records")
@@ -400,7 +440,9 @@ def q_canonicalize(spark, d):
     return table(spark, d, "entity_spans").select("span_id", tx.canonicalize(F.col("text")).alias("canonical"))
 
 
-@query()
+@query("WITH f AS (SELECT id, unnest([struct_pack(field_no := 0, field := 'title', body := title), struct_pack(field_no := 1, field := 'content', body := content), struct_pack(field_no := 2, field := 'text', body := text)]) AS x FROM articles), "
+    "a AS (SELECT id AS row_id, x.field_no AS field_no, x.field AS field, coalesce(x.body, '') AS body FROM f), "
+    + sq.packs("body", "row_id, field_no, field", "a") + " SELECT row_id, field_no, field, CAST(sent_no AS INTEGER) AS sent_no, text FROM packed")
 def q_split_sentences(spark, d):
     """Greedy sentence packs of all article fields."""
     return ner.sentence_rows(table(spark, d, "articles").select("id", "title", "content", "text"))
@@ -455,7 +497,7 @@ def q_regex_spans_basic(spark, d):
     return _rows_of(_texts(spark, d).select("rec_id", spans.regex_spans(F.col("text"), rules.FAMILIES_BASIC).alias("spans")), "spans")
 
 
-@query()
+@query(f"WITH {sq.TEXTS},{sq.DICTIONARY} SELECT rec_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", etype FROM dict")
 def q_gazetteer_spans(spark, d):
     return _rows_of(_texts(spark, d).select("rec_id", spans.dictionary_spans(F.col("text"), _entries(spark, d)).alias("spans")), "spans")
 
@@ -471,34 +513,47 @@ def q_industry_context(spark, d):
     return rows.select("rec_id", F.col("at").cast("bigint").alias("start"), spans.industry_context(F.col("text"), F.col("at")).alias("has_context"))
 
 
-def _hybrid(spark, d):
+def _resolved(spark, d, *more):
     texts = _texts(spark, d)
-    texts = texts.withColumn("found", F.concat(spans.model_spans(F.col("text"), F.col("entities")), spans.regex_spans(F.col("text")), spans.dictionary_spans(F.col("text"), _entries(spark, d))))
-    return texts.withColumn("spans", spans.resolve_overlaps(F.col("found")))
+    found = F.concat(spans.model_spans(F.col("text"), F.col("entities")), *more, spans.dictionary_spans(F.col("text"), _entries(spark, d)))
+    return texts.withColumn("found", found).withColumn("spans", spans.resolve_overlaps(F.col("found")))
 
 
-@query()
+@query(f"WITH {sq.SPANS} SELECT rec_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", etype FROM sp")
 def q_resolve_overlaps(spark, d):
-    return _rows_of(_hybrid(spark, d), "spans")
+    """Model and dictionary spans."""
+    return _rows_of(_resolved(spark, d), "spans")
+
+
+@query(f"WITH {sq.TEXTS},{sq.MODEL} SELECT rec_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", etype FROM model")
+def q_model_spans(spark, d):
+    return _rows_of(_texts(spark, d).select("rec_id", spans.model_spans(F.col("text"), F.col("entities")).alias("spans")), "spans")
 
 
 @query()
+def q_hybrid_spans(spark, d):
+    """Spans of all three sources."""
+    return _rows_of(_resolved(spark, d, spans.regex_spans(F.col("text"))), "spans")
+
+
+@query(f"WITH {sq.TEXTS},{sq.TOKENS} SELECT rec_id, CAST(i AS INTEGER) AS i, token, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\" FROM toks")
 def q_tokens(spark, d):
     rows = _texts(spark, d).select("rec_id", F.posexplode(bio.tokens("text")).alias("i", "t"))
     return rows.select("rec_id", "i", "t.token", "t.start", "t.end")
 
 
 def _labelled(spark, d):
-    toks = _hybrid(spark, d).withColumn("toks", bio.tokens("text"))
+    """Labels by model and dictionary spans."""
+    toks = _resolved(spark, d).withColumn("toks", bio.tokens("text"))
     return materialize(toks.select("rec_id", "row_id", "field_name", "text", bio.spans_to_bio(F.col("toks"), F.col("spans")).alias("bio")))
 
 
-@query()
+@query(f"WITH {sq.BIO} SELECT rec_id, CAST(i AS INTEGER) AS i, token, label FROM bio")
 def q_bio(spark, d):
     return _labelled(spark, d).select("rec_id", F.posexplode("bio").alias("i", "x")).select("rec_id", "i", "x.token", "x.label")
 
 
-@query()
+@query(f"WITH {sq.BIO} SELECT rec_id, coalesce(string_agg(token || ' ' || label, chr(10) ORDER BY i), '') AS lines, CAST(count(token) AS INTEGER) AS n FROM t LEFT JOIN bio USING (rec_id) GROUP BY rec_id")
 def q_bio_string(spark, d):
     """BIO as text and read back."""
     coded = _labelled(spark, d).select("rec_id", bio.to_string(F.col("bio")).alias("lines"))
@@ -509,12 +564,12 @@ def _fixed(spark, d):
     return materialize(_labelled(spark, d).withColumn("fixed", bio.fixed(F.col("bio"))))
 
 
-@query()
+@query(f"WITH {sq.FIXED} SELECT rec_id, CAST(i AS INTEGER) AS i, token, label FROM fixed")
 def q_bio_fix(spark, d):
     return _fixed(spark, d).select("rec_id", F.posexplode("fixed").alias("i", "x")).select("rec_id", "i", "x.token", "x.label")
 
 
-@query()
+@query(f"WITH {sq.ISLANDS} SELECT rec_id, CAST(i AS INTEGER) AS i, text, canonical, type FROM entities")
 def q_entities_from_bio(spark, d):
     return _fixed(spark, d).select("rec_id", F.posexplode(bio.decode_canonical(F.col("fixed"))).alias("i", "e")).select("rec_id", "i", "e.text", "e.canonical", "e.type")
 
@@ -525,22 +580,22 @@ def q_ner_records(spark, d):
     return out.select("id", "source_field", F.to_json(F.struct("*")).alias("record"))
 
 
-@query()
+@query(f"WITH {sq.FIXED} SELECT substr(label, 3) AS etype, count(*) AS n FROM fixed WHERE left(label, 2) = 'B-' GROUP BY 1")
 def q_entity_dist(spark, d):
     return bio.entity_counts(_fixed(spark, d), "fixed")
 
 
-@query()
+@query(f"WITH {sq.FIXED}, n AS (SELECT label, count(*) AS n FROM fixed GROUP BY 1) SELECT label, n, round(n / CAST((SELECT sum(n) FROM n) AS DOUBLE) * 100, 4) AS pct FROM n")
 def q_label_dist(spark, d):
     return bio.label_counts(_fixed(spark, d), "fixed")
 
 
-@query()
+@query(f"WITH {sq.FIXED}, a AS (SELECT label, count(*) AS n FROM bio WHERE label <> 'O' GROUP BY 1), b AS (SELECT label, count(*) AS n FROM fixed WHERE label <> 'O' GROUP BY 1) SELECT label, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b USING (label)")
 def q_label_delta(spark, d):
     return bio.label_delta(_fixed(spark, d), "bio", "fixed")
 
 
-@query()
+@query(f"WITH {sq.FIXED} SELECT rec_id, text FROM t WHERE field_name = 'title' AND rec_id NOT IN (SELECT rec_id FROM fixed WHERE left(label, 2) = 'B-')")
 def q_no_entity(spark, d):
     return bio.without_entity(_fixed(spark, d), "fixed").where("field_name = 'title'").select("rec_id", "text")
 
@@ -553,17 +608,7 @@ def _records(spark, d):
     return rows.select(F.col("rec_id").alias("row_id"), tx.normalize_text(F.col("text")).alias("text"), "entities")
 
 
-@query(
-    f"""WITH ents AS (SELECT rec_id, text, i, entities[i].text AS raw, entities[i].etype AS etype, entities[i].score AS score FROM sentence_records, range(1, 10000) AS t(i)
-  WHERE i <= len(entities) AND length(text) < 150 AND len(entities) >= 2 AND regexp_matches(text, '[^\\s\\p{{Z}}]')),
-named AS (SELECT *, {_entity_sql('raw')} AS name FROM ents),
-pairs AS (SELECT a.rec_id, a.text, a.name AS subject, b.name AS obj, a.etype AS subject_type, b.etype AS obj_type, CAST(round((CAST(a.score AS DECIMAL(10,6)) + CAST(b.score AS DECIMAL(10,6))) * CAST(0.25 AS DECIMAL(6,4)), 4) AS DOUBLE) AS confidence,
-    CASE WHEN b.etype = 'LOCATION' THEN 2 WHEN a.etype = 'PERSON' THEN 1 ELSE 0 END * 100000000 + a.i * 10000 + b.i AS k
-  FROM named a JOIN named b ON a.rec_id = b.rec_id AND a.i <> b.i
-  WHERE ((a.etype = 'ORGANIZATION' AND b.etype IN ('ORGANIZATION', 'LOCATION')) OR (a.etype = 'PERSON' AND b.etype = 'ORGANIZATION')) AND a.name <> '' AND b.name <> '' AND a.name <> b.name)
-SELECT subject, arg_min(subject_type, k) AS subject_type, 'LIÊN_QUAN' AS relation, obj, arg_min(obj_type, k) AS obj_type, arg_min(struct_pack(c := confidence), k).c AS confidence, rec_id AS source_id,
-  left(text, 120) AS source_text FROM pairs GROUP BY rec_id, text, subject, obj"""
-)
+@query(f"WITH {sq.relations_sql()} SELECT subject, subject_type, relation, obj, obj_type, confidence, rec_id AS source_id, source_text FROM rel WHERE relation = '{rules.CO_OCCURRENCE}'")
 def q_cooccur(spark, d):
     return relations.cooccurrence(_records(spark, d))
 
@@ -579,9 +624,9 @@ def q_best_match(spark, d):
     return rows.select("triple_id", "subject", match.alias("m")).where("m is not null").select("triple_id", "subject", F.col("m.text").alias("matched"), F.col("m.etype").alias("etype"))
 
 
-@query()
+@query(f"WITH {sq.relations_sql()} SELECT subject, subject_type, relation, obj, obj_type, confidence, rec_id AS source_id, source_text FROM rel")
 def q_relations(spark, d):
-    return relations.triples(_records(spark, d))
+    return relations.triples(_records(spark, d)).drop("emit_no")
 
 
 @query()
