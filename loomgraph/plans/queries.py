@@ -448,7 +448,7 @@ def q_split_sentences(spark, d):
     return ner.sentence_rows(table(spark, d, "articles").select("id", "title", "content", "text"))
 
 
-@query()
+@query("WITH " + sq.chunks("coalesce(content, '')", "id", "articles") + " SELECT id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk, CAST(start AS INTEGER) AS start FROM chunked")
 def q_model_chunks(spark, d):
     chunks = F.posexplode(tx.model_chunks(F.coalesce("content", F.lit(""))))
     return table(spark, d, "articles").select("id", chunks.alias("chunk_no", "c")).select("id", "chunk_no", "c.chunk", "c.start")
@@ -461,7 +461,8 @@ def q_entity_filter(spark, d):
     return table(spark, d, "sentence_records").where("entities is not null").select("rec_id", F.size(ner.kept(F.col("entities"))).cast("bigint").alias("n"))
 
 
-@query()
+@query(f"WITH x AS (SELECT rec_id, unnest(entities) AS e FROM sentence_records WHERE entities IS NOT NULL), n AS (SELECT rec_id, nfc_normalize(e.text) AS raw, {sq.entity("nfc_normalize(e.text)")} AS name FROM x) "
+    "SELECT rec_id, CAST(count(*) FILTER (WHERE name <> '' AND name <> raw) AS INTEGER) AS n_changed, CAST(count(*) FILTER (WHERE name = '') AS INTEGER) AS n_dropped, CAST(count(*) FILTER (WHERE name <> '') AS INTEGER) AS n_left FROM n GROUP BY 1 HAVING n_left > 0")
 def q_entity_pass(spark, d):
     rows = table(spark, d, "sentence_records").select("rec_id", "row_id", "text", "entities").where("entities is not null")
     return ner.normalized(rows).select("rec_id", "n_changed", "n_dropped", F.size("entities").alias("n_left"))
@@ -503,14 +504,36 @@ def q_gazetteer_spans(spark, d):
 
 
 @query(
-    "SELECT rec_id, instr(lower(text), 'năng lượng') - 1 AS start, "
-    + " OR ".join(f"contains(lower(substring(text, greatest(1, instr(lower(text), 'năng lượng') - 50), least(instr(lower(text), 'năng lượng') - 1, 50))), '{t}') OR contains(lower(substring(text, instr(lower(text), 'năng lượng'), 50)), '{t}')" for t in rules.INDUSTRY_TRIGGERS)
-    + " AS has_context FROM sentence_records WHERE contains(lower(text), 'năng lượng')"
+    f"""WITH {sq.TEXTS}, terms AS (SELECT unnest([{sq.listed(rules.INDUSTRY_NEEDS_CONTEXT)}]) AS term),
+h AS (SELECT rec_id, lower(text) AS low, term, string_split(lower(text), term) AS parts FROM t JOIN terms ON contains(lower(text), term)),
+p AS (SELECT rec_id, low, term, CAST(unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(term))) AS BIGINT) AS start FROM h),
+w AS (SELECT *, substr(low, greatest(start - 49, 1), least(start, 50)) AS w1, substr(low, start + 1, 50) AS w2 FROM p)
+SELECT rec_id, term, start, {" OR ".join(f"contains(w1, {sq.quoted(t)}) OR contains(w2, {sq.quoted(t)})" for t in rules.INDUSTRY_TRIGGERS)} AS has_context FROM w"""
 )
 def q_industry_context(spark, d):
-    at = F.instr(F.lower("text"), F.lit("năng lượng")) - 1
-    rows = table(spark, d, "sentence_records").where(F.lower("text").contains("năng lượng")).withColumn("at", at)
-    return rows.select("rec_id", F.col("at").cast("bigint").alias("start"), spans.industry_context(F.col("text"), F.col("at")).alias("has_context"))
+    """Every place of every term that needs a trigger word nearby."""
+    terms = F.array(*[F.lit(t) for t in rules.INDUSTRY_NEEDS_CONTEXT])
+    rows = _texts(spark, d).select("rec_id", "text", F.explode(terms).alias("term")).where(F.contains(F.lower("text"), F.col("term")))
+    parts = rows.withColumn("parts", F.expr("split(lower(text), term, -1)"))
+    sizes = F.expr("transform(sequence(1, size(parts) - 1), k -> aggregate(slice(parts, 1, k), 0, (n, x) -> n + length(x)) + (k - 1) * length(term))")
+    places = parts.select("rec_id", "text", "term", F.explode(sizes).alias("at"))
+    return places.select("rec_id", "term", F.col("at").cast("bigint").alias("start"), spans.industry_context(F.col("text"), F.col("at")).alias("has_context"))
+
+
+# Sentences and the spans that the pattern families find in them.
+_CASES = {
+    "Ngày 16/1, GDP tăng 6,5% trong năm 2024. Giá 1000 USD, tương đương 12 triệu đồng.": [
+        ("12 triệu đồng", "MONEY"), ("1000 USD", "MONEY"), ("12 triệu", "MONEY"), ("Ngày 16/1", "DATE"), ("năm 2024", "DATE"), ("6,5%", "PERCENT"), ("tăng 6,5%", "PERCENT"),
+    ],
+    "watchOS 26": [], "iOS 17": [("iOS 17", "PRODUCT")], "tăng ２０ % và ５００ tỷ đồng": [("５００ tỷ đồng", "MONEY"), ("５００ tỷ", "MONEY"), ("２０ %", "PERCENT"), ("tăng ２０ %", "PERCENT")],
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({sq.quoted(t)}, {sq.quoted(x)}, '{k}')" for t, found in _CASES.items() for x, k in found) + ") AS v(text, found, etype)")
+def q_regex_cases(spark, d):
+    """The pattern families on sentences with known spans (the patterns look around, which SQL cannot)."""
+    rows = spark.createDataFrame([(t,) for t in _CASES], "text string").withColumn("s", F.explode(spans.regex_spans(F.col("text"))))
+    return rows.select("text", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("found"), F.col("s.etype").alias("etype"))
 
 
 def _resolved(spark, d, *more):
@@ -613,7 +636,8 @@ def q_cooccur(spark, d):
     return relations.cooccurrence(_records(spark, d))
 
 
-@query()
+@query("WITH ents AS (SELECT row_id, list(struct_pack(text := text, etype := etype) ORDER BY span_id) FILTER (WHERE etype IN ('PERSON', 'ORGANIZATION')) AS ents FROM entity_spans WHERE text IS NOT NULL GROUP BY 1), "
+    f"m AS (SELECT triple_id, subject, {sq.best_match('subject', 'ents')} AS m FROM triples JOIN ents ON ents.row_id = source_id WHERE subject IS NOT NULL) SELECT triple_id, subject, m.text AS matched, m.etype AS etype FROM m WHERE m IS NOT NULL")
 def q_best_match(spark, d):
     """For every triple its subject's best match among the entities of the records of its article."""
     ents = table(spark, d, "entity_spans").where("text is not null").groupBy("row_id").agg(
@@ -629,7 +653,12 @@ def q_relations(spark, d):
     return relations.triples(_records(spark, d)).drop("emit_no")
 
 
-@query()
+@query(f"""WITH {sq.relations_sql(named=True)},
+v AS (SELECT *, rec_id * CAST(1000000000 AS HUGEINT) + k AS ord FROM rel WHERE confidence >= 0.5 AND length({sq.strip("subject")}) > 1 AND length({sq.strip("obj")}) > 1
+  AND NOT regexp_matches(subject, '^[\\p{{Nd}}\\s\\p{{Z}}.,;:\\-/]+$') AND NOT regexp_matches(obj, '^[\\p{{Nd}}\\s\\p{{Z}}.,;:\\-/]+$'))
+SELECT subject, relation, obj, arg_max(struct_pack(v := subject_type), q).v AS subject_type, arg_max(struct_pack(v := obj_type), q).v AS obj_type, max(confidence) AS confidence, count(*) AS frequency,
+  round(count(*) * max(confidence), 4) AS weight, arg_max(struct_pack(v := rec_id), q).v AS source_id, arg_max(struct_pack(v := source_text), q).v AS source_text
+FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, obj ORDER BY confidence, ord DESC) AS q FROM v) GROUP BY subject, relation, obj""")
 def q_graph_from_text(spark, d):
     """Text to final triples in one plan: normalize entities, extract, filter, dedup."""
     rows = ner.normalized(_records(spark, d))
@@ -663,32 +692,33 @@ def q_windowed_counts(spark, d):
 
 # ---- training data -------------------------------------------------------------------------------
 
-_SEQ = r"""
-tok AS (SELECT span_id AS seq_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda x: x <> '') AS tokens, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t FROM entity_spans),
-s AS (SELECT seq_id, tokens, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN i = 1 THEN 'B-' || t ELSE 'I-' || t END) AS labels FROM tok),
+MOST_TOKENS = 256
+_SEQ = f"""{sq.BIO},
+s AS MATERIALIZED (SELECT rec_id AS seq_id, coalesce(list(token ORDER BY i) FILTER (WHERE token IS NOT NULL), []) AS tokens, coalesce(list(label ORDER BY i) FILTER (WHERE token IS NOT NULL), []) AS labels FROM t LEFT JOIN bio USING (rec_id) GROUP BY rec_id),
 x AS (SELECT seq_id, unnest(labels) AS label FROM s),
 ids AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS label_id FROM (SELECT label FROM x UNION SELECT 'O'))"""
 
 
 def _seqs(spark, d):
-    """Names as token sequences labelled by their type."""
-    toks = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\r\n]+"), lambda t: t != "")
-    kind = F.coalesce(F.nullif(F.upper(F.trim("etype")), F.lit("")), F.lit("UNKNOWN"))
-    rows = table(spark, d, "entity_spans").select(F.col("span_id").alias("seq_id"), toks.alias("tokens"), kind.alias("t"))
-    return rows.select("seq_id", "tokens", F.transform("tokens", lambda x, i: F.concat(F.when(i == 0, "B-").otherwise("I-"), F.col("t"))).alias("labels"))
+    """Labelled sentences as token sequences."""
+    return _labelled(spark, d).select(F.col("rec_id").alias("seq_id"), F.transform("bio", lambda x: x["token"]).alias("tokens"), F.transform("bio", lambda x: x["label"]).alias("labels"))
 
 
-@query(f"WITH {_SEQ}, p AS (SELECT seq_id, tokens, labels, unnest(range(0, greatest(1, CAST(ceil(len(tokens) / 3.0) AS BIGINT)))) AS chunk_no FROM s) SELECT seq_id, chunk_no, array_to_string(list_slice(tokens, chunk_no * 3 + 1, chunk_no * 3 + 3), ' ') AS tokens FROM p")
+_CHUNKS = "p AS (SELECT seq_id, tokens, labels, unnest(range(0, greatest(1, CAST(ceil(len(tokens) / 256.0) AS BIGINT)))) AS chunk_no FROM s)"
+
+
+@query(f"WITH {_SEQ}, {_CHUNKS} SELECT seq_id, chunk_no, array_to_string(list_slice(tokens, chunk_no * 256 + 1, chunk_no * 256 + 256), ' ') AS tokens, array_to_string(list_slice(labels, chunk_no * 256 + 1, chunk_no * 256 + 256), ' ') AS labels FROM p")
 def q_chunk(spark, d):
-    return training.chunked(_seqs(spark, d), 3).select("seq_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("tokens", " ").alias("tokens"))
+    parts = training.chunked(_seqs(spark, d), MOST_TOKENS)
+    return parts.select("seq_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
 @query(
     f"WITH {_SEQ} SELECT CAST(min(len(tokens)) AS BIGINT) AS least, round(avg(len(tokens)), 6) AS mean, CAST(max(len(tokens)) AS BIGINT) AS most, round(quantile_cont(len(tokens), 0.95), 6) AS p95, "
-    "round(avg(CASE WHEN len(tokens) > 4 THEN 1.0 ELSE 0.0 END), 6) AS share_over FROM s"
+    "round(avg(CASE WHEN len(tokens) > 256 THEN 1.0 ELSE 0.0 END), 6) AS share_over FROM s"
 )
 def q_len_stats(spark, d):
-    return training.length_stats(_seqs(spark, d), 4)
+    return training.length_stats(_seqs(spark, d), MOST_TOKENS)
 
 
 @query(f"WITH {_SEQ} SELECT label, CAST(label_id AS INTEGER) AS label_id FROM ids")
@@ -732,37 +762,95 @@ def q_class_weights(spark, d):
     return training.class_weights(seqs, training.label_ids(seqs))
 
 
-@query()
+@query(f"WITH {_SEQ}, n AS (SELECT seq_id, unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM s) SELECT seq_id, coalesce(string_agg(label_id::VARCHAR, ' ' ORDER BY i), '') AS tags FROM s LEFT JOIN n USING (seq_id) LEFT JOIN ids USING (label) GROUP BY seq_id")
 def q_encode_labels(spark, d):
     seqs = _seqs(spark, d)
     return training.encoded(seqs, training.label_ids(seqs)).select("seq_id", F.array_join(F.col("ner_tags").cast("array<string>"), " ").alias("tags"))
 
 
-@query()
+@query(f"WITH {_SEQ}, {_CHUNKS}, n AS (SELECT count(*) AS n FROM p) SELECT 'test' AS part, CAST(floor(n * 0.05) AS BIGINT) AS n FROM n UNION ALL SELECT 'validation', CAST(floor(n * 0.10) AS BIGINT) FROM n UNION ALL SELECT 'train', n - CAST(floor(n * 0.05) AS BIGINT) - CAST(floor(n * 0.10) AS BIGINT) FROM n")
 def q_split(spark, d):
-    return training.split(training.chunked(_seqs(spark, d), 3)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return training.split(training.chunked(_seqs(spark, d), MOST_TOKENS)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {_SEQ}, n AS (SELECT seq_id, unnest(labels) AS label, unnest(tokens) AS token, generate_subscripts(labels, 1) AS i FROM s), "
+    "w AS (SELECT seq_id, i, label_id, unnest(range(0, greatest(1, (length(token) + 3) // 4))) AS k FROM n JOIN ids USING (label)), "
+    "z AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY i, k) AS place, CASE WHEN k = 0 THEN label_id ELSE -100 END AS tag FROM w) "
+    "SELECT seq_id, trim('-100 ' || coalesce(string_agg(tag::VARCHAR, ' ' ORDER BY place) FILTER (WHERE place <= 254), '')) || ' -100' AS aligned FROM s LEFT JOIN z USING (seq_id) GROUP BY seq_id")
 def q_align_subwords(spark, d):
     seqs = _seqs(spark, d)
-    rows = training.encoded(seqs, training.label_ids(seqs)).withColumn("ids", training.word_ids(F.col("tokens"), lambda w: (len(w) + 3) // 4, 32))
+    rows = training.encoded(seqs, training.label_ids(seqs)).withColumn("ids", training.word_ids(F.col("tokens"), lambda w: (len(w) + 3) // 4, MOST_TOKENS))
     return rows.select("seq_id", F.array_join(training.align_labels(F.col("ids"), F.col("ner_tags")).cast("array<string>"), " ").alias("aligned"))
 
 
-_PRF = _SEQ + r""",
-ent AS (SELECT span_id AS seq_id, coalesce(nullif(upper(trim(etype)), ''), 'UNKNOWN') AS t, len(tokens) AS n, score FROM entity_spans JOIN s ON s.seq_id = span_id WHERE len(tokens) > 0),
-g AS (SELECT t AS etype, count(*) AS support FROM ent GROUP BY 1), p AS (SELECT t AS etype, count(*) AS found FROM ent WHERE score >= 0.8 GROUP BY 1),
-m AS (SELECT etype, coalesce(support, 0) AS support, coalesce(found, 0) AS found, coalesce(found, 0) AS tp FROM g FULL JOIN p USING (etype)),
+def _entities_sql(name: str, source: str) -> str:
+    """Entities of a label column; an I- after another type or O opens one too."""
+    return f"""
+{name}0 AS (SELECT rec_id, i, label, CASE WHEN label <> 'O' THEN substr(label, 3) END AS t, lag(CASE WHEN label <> 'O' THEN substr(label, 3) END) OVER (PARTITION BY rec_id ORDER BY i) AS pt FROM {source}),
+{name}1 AS (SELECT *, sum(CASE WHEN t IS NOT NULL AND (left(label, 2) = 'B-' OR pt IS NULL OR pt <> t) THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY i) AS run FROM {name}0),
+{name} AS (SELECT rec_id, run, any_value(t) AS etype, min(i) AS a, max(i) AS b FROM {name}1 WHERE t IS NOT NULL GROUP BY 1, 2)"""
+
+
+_PRF = f"""{sq.BIO},
+plain AS (SELECT rec_id, i, token, coalesce((SELECT CASE WHEN sp.s = k.s THEN 'B-' ELSE 'I-' END || sp.etype FROM dict sp WHERE sp.rec_id = k.rec_id AND sp.s <= k.s AND k.e <= sp.e ORDER BY sp.s LIMIT 1), 'O') AS label FROM toks k),
+{_entities_sql("gold", "bio")},{_entities_sql("pred", "plain")},
+gs AS (SELECT etype, count(*) AS support FROM gold GROUP BY 1), ps AS (SELECT etype, count(*) AS found FROM pred GROUP BY 1),
+hs AS (SELECT gold.etype, count(*) AS tp FROM gold JOIN pred ON gold.rec_id = pred.rec_id AND gold.etype = pred.etype AND gold.a = pred.a AND gold.b = pred.b GROUP BY 1),
+m AS (SELECT etype, coalesce(support, 0) AS support, coalesce(found, 0) AS found, coalesce(tp, 0) AS tp FROM gs FULL JOIN ps USING (etype) LEFT JOIN hs USING (etype)),
 every AS (SELECT * FROM m UNION ALL SELECT 'micro', sum(support), sum(found), sum(tp) FROM m)"""
 
 
+def _both_labels(spark, d):
+    texts = _resolved(spark, d).withColumn("toks", bio.tokens("text"))
+    own = spans.dictionary_spans(F.col("text"), _entries(spark, d))
+    rows = materialize(texts.select("rec_id", "toks", "spans", own.alias("own")))
+    labels = lambda c: F.transform(bio.spans_to_bio(F.col("toks"), F.col(c)), lambda x: x["label"])
+    return rows.select(F.col("rec_id").alias("seq_id"), labels("spans").alias("labels"), labels("own").alias("predicted"))
+
+
 @query(
     f"WITH {_PRF} SELECT etype, CAST(support AS BIGINT) AS support, CAST(found AS BIGINT) AS found, CAST(tp AS BIGINT) AS tp, round(CASE WHEN found > 0 THEN tp / CAST(found AS DOUBLE) ELSE 0 END, 6) AS precision, "
     "round(CASE WHEN support > 0 THEN tp / CAST(support AS DOUBLE) ELSE 0 END, 6) AS recall, round(CASE WHEN support + found > 0 THEN 2.0 * tp / (support + found) ELSE 0 END, 6) AS f1 FROM every"
 )
 def q_entity_prf(spark, d):
-    """Names as gold, those of score 0.8 or more as predicted."""
-    pred = table(spark, d, "entity_spans").select(F.col("span_id").alias("seq_id"), (F.col("score") >= 0.8).alias("sure"))
-    rows = _seqs(spark, d).join(pred, "seq_id").withColumn("predicted", F.transform("labels", lambda x: F.when(F.col("sure"), x).otherwise("O")))
-    return training.scores(rows, "labels", "predicted")
+    """Labels by model and dictionary as gold, by the dictionary alone as predicted."""
+    return training.scores(_both_labels(spark, d), "labels", "predicted")
+
+
+@query(f"WITH {_PRF} SELECT round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM bio a JOIN plain b USING (rec_id, i)")
+def q_token_accuracy(spark, d):
+    return training.token_accuracy(_both_labels(spark, d), "labels", "predicted")
+
+
+_LOGITS = "SELECT span_id, [coalesce(score, 0.0), length(coalesce(text, '')) / 40.0, 0.5] AS v, CASE WHEN span_id % 7 = 0 THEN -100 ELSE CAST(span_id % 3 AS INTEGER) END AS gold FROM entity_spans"
+
+
+def _logits(spark, d):
+    values = F.array(F.coalesce("score", F.lit(0.0)), F.length(F.coalesce("text", F.lit(""))) / 40.0, F.lit(0.5))
+    gold = F.when(F.col("span_id") % 7 == 0, -100).otherwise((F.col("span_id") % 3).cast("int"))
+    return table(spark, d, "entity_spans").select("span_id", values.alias("v"), gold.alias("gold"))
+
+
+@query(f"WITH l AS ({_LOGITS}) SELECT span_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best FROM l")
+def q_argmax(spark, d):
+    return _logits(spark, d).select("span_id", training.argmax(F.col("v")).cast("bigint").alias("best"))
+
+
+@query(f"WITH l AS ({_LOGITS}) SELECT CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS predicted, gold, count(*) AS n FROM l WHERE gold <> -100 GROUP BY 1, 2")
+def q_decoded_pairs(spark, d):
+    """Predicted and gold ids without the ignored places, as the pairs a score is made of."""
+    rows = _logits(spark, d).select(F.explode(training.drop_ignored(F.array(training.argmax(F.col("v"))), F.array("gold"))).alias("x"))
+    return rows.groupBy(F.col("x.p").cast("int").alias("predicted"), F.col("x.g").alias("gold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(floor((triple_id % 1000) / 100) AS BIGINT) AS epoch, round(avg(confidence), 6) AS loss FROM triples WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1")
+def q_epoch_loss(spark, d):
+    logs = table(spark, d, "triples").select((F.col("triple_id") % 1000 + 1).alias("step"), F.col("confidence").alias("loss"))
+    return training.epoch_losses(logs, 100)
+
+
+@query(f"WITH {_RARE}, w AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(list_has_any(list_transform(labels, lambda l: string_split(l, '-')[-1]), (SELECT list(etype) FROM rare)), false)) AS r FROM s) SELECT round(r * 3.0 / (n + r * 2.0) * 100, 6) AS pct FROM w")
+def q_effective_rare_share(spark, d):
+    seqs = _seqs(spark, d)
+    rows = training.weighted(seqs, training.rare_types(seqs)).agg(F.count(F.lit(1)).alias("n"), F.count_if("has_rare").alias("r"))
+    return rows.select(F.round(training.effective_rare_pct(F.col("r"), F.col("n"), 3.0), 6).alias("pct"))

@@ -147,8 +147,8 @@ def _re2(pattern: str) -> str:
     return out.replace("'", "''")
 
 
-def relations_sql() -> str:
-    """All triples of all records: pattern matches and pairs, of equal ones within a record the first."""
+def relations_sql(named: bool = False) -> str:
+    """All triples of all records: pattern matches and pairs, of equal ones within a record the first; ``named``: entities are normalized beforehand."""
     parts = []
     for no, (name, pattern, st, ot, weight, both) in enumerate(rules.RELATIONS):
         p = _re2(pattern)
@@ -172,7 +172,8 @@ d{no} AS (SELECT rec_id, text, {no} * 1000000 + k * 2 AS k, '{name}' AS relation
           WHERE length(x.text) < {relations.SHORT} AND x.etype IN ({listed(left)}) AND y.etype IN ({listed(right)})""")
     return f"""{TEXTS},
 raw AS (SELECT rec_id, text, unnest(entities) AS x, generate_subscripts(entities, 1) AS no FROM t WHERE entities IS NOT NULL AND text <> ''),
-flat AS (SELECT rec_id, text, row_number() OVER (PARTITION BY rec_id ORDER BY no) AS i, nfc_normalize(x.text) AS etext, x.etype AS etype, coalesce(x.score, 0.0) AS score, {entity("nfc_normalize(x.text)")} AS name FROM raw WHERE length(x.text) > 0),
+once AS (SELECT rec_id, text, no, x, {entity("nfc_normalize(x.text)") if named else "nfc_normalize(x.text)"} AS etext FROM raw),
+flat AS (SELECT rec_id, text, row_number() OVER (PARTITION BY rec_id ORDER BY no) AS i, etext, x.etype AS etype, coalesce(x.score, 0.0) AS score, {entity("etext")} AS name FROM once WHERE length(etext) > 0),
 r AS (SELECT rec_id, any_value(text) AS text, list(struct_pack(text := etext, etype := etype, score := score, name := name) ORDER BY i) AS ents FROM flat GROUP BY rec_id),{",".join(parts)},
 every AS ({" UNION ALL ".join(found + pairs)}),
 rel AS (SELECT rec_id, relation, s AS subject, o AS obj, min(k) AS k, arg_min(struct_pack(v := st), k).v AS subject_type, arg_min(struct_pack(v := ot), k).v AS obj_type, arg_min(c, k) AS confidence, any_value(left(text, 120)) AS source_text
@@ -189,3 +190,13 @@ def packs(text: str, keys: str, source: str, marks: str = ".!?;", most: int = 60
     )
     return f"""folded AS (SELECT {keys}, list_filter(list_transform({fold}, lambda p: {strip("p")}), lambda p: length(p) >= 5) AS packs FROM {source}),
 packed AS (SELECT {keys}, unnest(packs) AS text, generate_subscripts(packs, 1) - 1 AS sent_no FROM folded)"""
+
+
+def chunks(text: str, keys: str, source: str, marks: str = ".!?", most: int = 1500) -> str:
+    """Chunks for a model with their starts: sentences joined while they fit, none cut."""
+    fold = (
+        f"list_reduce(list_prepend([''], list_transform(string_split(regexp_replace({text}, '([{marks}])[{_SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda z: [z])), "
+        f"lambda acc, x: CASE WHEN length(acc[-1]) = 0 THEN list_concat(acc[:-2], x) WHEN length(acc[-1]) + length(x[1]) + 1 <= {most} THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END)"
+    )
+    return f"""folded AS (SELECT {keys}, list_filter({fold}, lambda p: length(p) > 0) AS cs FROM {source}),
+chunked AS (SELECT {keys}, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS chunk_no, unnest(list_transform(range(0, len(cs)), lambda k: coalesce(list_sum(list_transform(cs[1:k], lambda c: length(c) + 1)), 0))) AS start FROM folded)"""
