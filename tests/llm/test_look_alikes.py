@@ -39,3 +39,32 @@ def test_quick_check_misses_nothing(spark):
     got = {r.id: r.normal for r in la.consistent(df, "text").collect()}
     assert got == {i: la.normalize_text(t) for i, t in enumerate(texts)}
     assert la.consistent(df.limit(0), "text").count() == 0
+
+
+def test_quick_check_over_all_code_points(spark):
+    """No text that composition changes may pass: every character alone, and after a letter or mark it may join."""
+    import sys
+    import unicodedata
+
+    texts = []
+    for o in range(0x80, sys.maxunicode + 1):
+        ch = chr(o)
+        if 0xD800 <= o < 0xE000:
+            continue
+        for text in (ch, f"a{ch}", f"ọ{ch}", f"α{ch}", f"क{ch}", f"ᄀ{ch}"):
+            if unicodedata.normalize("NFC", text) != text:
+                texts.append(text)
+    texts += [unicodedata.normalize("NFD", chr(o)) for o in range(0x80, 0x30000) if unicodedata.decomposition(chr(o))[:1] not in ("", "<")]
+    assert len(texts) > 3000
+    missed = [t for t in set(texts) if not la._unstable.search(t) and unicodedata.normalize("NFC", t) != t]
+    assert missed == []
+    rows = spark.createDataFrame([(t,) for t in sorted(set(texts)) if unicodedata.normalize("NFC", t) != t], "text string")
+    assert rows.where(~la.is_unstable(F.col("text"))).count() == 0
+
+
+def test_more_scripts():
+    assert la.normalize_text("cօmpany Wᏼ ꓐank ⲣhone ᴄat windoⅴs") [:7] == "company"
+    for text, want in (("vօn", "von"), ("ꓐank", "Bank"), ("ⲣhone", "phone"), ("ᴄat", "cat"), ("Ꮃin", "Win"), ("windoⅴs", "windovs")):
+        assert la.normalize_text(text) == want
+    for text in ("Հայաստան", "ᎠᏂᏴᏫᏯᎢ", "Ⅲ", "γ", "магазин", "σύνολο"):
+        assert la.normalize_text(text) == text
