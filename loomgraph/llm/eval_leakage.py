@@ -5,12 +5,14 @@ in a row give a k-gram hash, and of each window of ``W`` k-gram hashes in a row
 the smallest is kept (winnowing). With K + W - 1 <= ``SPAN`` any span of SPAN
 words that two texts share has at least one fingerprint in common. Fingerprints
 of corpus and test items are joined; hits are extended to the left and right on
-the words themselves, and a pair counts if a run of at least SPAN words agrees,
-so hash collisions leave no trace.
+the 64-bit hashes of the words, and a pair counts if a run of at least SPAN words
+agrees, so a k-gram collision leaves no trace.
 
-The item side is broadcast only while its file is below ``ITEMS_BYTES``; above
-that, the join is a shuffle in which every fingerprint carries a salt. A
-document yields each fingerprint once, however often it repeats inside.
+While the file of the items is below ``ITEMS_BYTES``, their fingerprints and
+words go to every task and a document is fingerprinted, looked up and extended
+in one pass over its batch: nothing is shuffled. Above that, fingerprints are
+joined by a shuffle in which one of many rows is split by their number, and only
+documents with a hit are joined to their items.
 
 Defined results: null, empty and short texts give no row; a pair comes out
 once; an empty corpus or item table gives an empty result.
@@ -26,13 +28,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.runtime import table, within_bytes
+from loomgraph.plans.runtime import materialize, table, within_bytes
 
 SPAN = 15
 K = 8
 W = SPAN - K + 1
 ITEMS_BYTES = 16 << 20
-SALTS = 16
+#: rows of one fingerprint that one task joins, before it is split
+PRINT_ROWS = 4096
+#: ids of documents with a hit up to which they are broadcast (16 bytes each)
+BROADCAST_IDS = 1_000_000
 
 
 def _accent_table() -> tuple[str, str]:
@@ -56,13 +61,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest hash of each window of ``window`` hashes (the rightmost of equal ones)."""
-    if len(hashes) == 0:
+def winnow(hashes: np.ndarray, owners: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash of each window of ``window`` hashes of one owner (the rightmost of equal ones)."""
+    if len(hashes) < window:
         return np.empty(0, np.int64)
-    window = min(window, len(hashes))
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1))
+    inside = np.flatnonzero(owners[: len(views)] == owners[window - 1 :])
+    return np.unique(inside + window - 1 - views[inside][:, ::-1].argmin(axis=1))
 
 
 def kgram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
@@ -77,69 +82,118 @@ def kgram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Texts:
+    """Word hashes of many texts in one array, with the winnowed fingerprints of all of them."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.ends = sizes.cumsum()
+        self.starts = self.ends - sizes
+        self.words = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        grams = kgram_hashes(self.words.view(np.uint64), K)
+        whole = np.flatnonzero(owner[: len(grams)] == owner[K - 1 :]) if len(grams) else np.empty(0, np.int64)
+        kept = winnow(grams[whole], owner[whole], W)
+        self.at = whole[kept]  # place of each fingerprint in ``words``
+        self.prints = grams[self.at].view(np.int64)
+        self.owner = owner[self.at]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.words[self.starts[i] : self.ends[i]]
+
+
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
+    """Ends of the run of equal words through a[i] = b[j], as places of ``a``."""
+    right = a[i : i + len(b) - j] != b[j : j + len(a) - i]
+    left = a[max(0, i - j) : i][::-1] != b[max(0, j - i) : j][::-1]
+    return i - (int(left.argmax()) if left.any() else len(left)), i + (int(right.argmax()) if right.any() else len(right))
+
+
+def shared_runs(docs: Texts, items: Texts, enough: int = SPAN) -> dict[tuple[int, int], int]:
+    """(document, item) to the length of the longest run that a common fingerprint lies in, if it has ``enough`` words."""
+    order = np.argsort(items.prints, kind="stable")
+    known = items.prints[order]
+    first, last = np.searchsorted(known, docs.prints, "left"), np.searchsorted(known, docs.prints, "right")
+    hit = np.flatnonzero(last > first)
+    best: dict[tuple[int, int], int] = {}
+    seen: dict[tuple[int, int, int], int] = {}  # end of the run extended last on each diagonal
+    for h in hit:
+        d = int(docs.owner[h])
+        i = int(docs.at[h] - docs.starts[d])
+        for k in order[first[h] : last[h]]:
+            t = int(items.owner[k])
+            j = int(items.at[k] - items.starts[t])
+            if seen.get((d, t, i - j), -1) > i:
+                continue
+            start, end = _run(docs[d], items[t], i, j)
+            seen[d, t, i - j] = end
+            if end - start >= enough and end - start > best.get((d, t), 0):
+                best[d, t] = end - start
+    return best
+
+
+def hashed(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``key, hashes``: hashes of the words of each text with at least SPAN words."""
+    long = df.where(F.length(column) >= 2 * SPAN - 1).select(F.col(key).cast("bigint").alias(key), words(F.col(column)).alias("w"))
+    return long.where(F.size("w") >= SPAN).select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
+
+
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys, prints = [], []
-        for key, hashed in zip(pdf["key"], pdf["hashes"], strict=True):
-            grams = kgram_hashes(np.asarray(hashed, np.int64).view(np.uint64), K)
-            kept = np.unique(grams[winnow(grams, W)]).view(np.int64)
-            keys.append(np.full(len(kept), key))
-            prints.append(kept)
-        yield pd.DataFrame({"key": np.concatenate(keys), "print": np.concatenate(prints)} if keys else {"key": [], "print": []})
+        texts = Texts(list(pdf["hashes"]))
+        yield pd.DataFrame({"key": pdf["key"].to_numpy()[texts.owner], "print": texts.prints}).drop_duplicates()
 
 
 def fingerprints(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``key, print``: the distinct winnowed fingerprints of each text with at least SPAN words."""
-    hashed = (
-        df.where(F.length(column) >= 2 * SPAN - 1)
-        .select(F.col(key).cast("bigint").alias("key"), words(F.col(column)).alias("w"))
-        .where(F.size("w") >= SPAN)
-        .select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
-    )
-    return hashed.mapInPandas(_fingerprints, "key bigint, print bigint").withColumnRenamed("key", key)
-
-
-def longest_shared_run(a: list[str], b: list[str], enough: int = SPAN) -> int:
-    """Length of the longest run of words common to both, extended from every place they share a seed."""
-    if len(a) < enough or len(b) < enough:
-        return 0
-    seeds: dict[tuple, list[int]] = {}
-    for j in range(len(b) - K + 1):
-        seeds.setdefault(tuple(b[j : j + K]), []).append(j)
-    best = 0
-    for i in range(len(a) - K + 1):
-        for j in seeds.get(tuple(a[i : i + K]), ()):
-            if i and j and a[i - 1] == b[j - 1]:
-                continue  # extended already from further left
-            n = K
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            best = max(best, n)
-    return best
+    return hashed(df, key, column).withColumnRenamed(key, "key").mapInPandas(_fingerprints, "key bigint, print bigint").withColumnRenamed("key", key)
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        runs = [longest_shared_run(list(a), list(b)) for a, b in zip(pdf["dw"], pdf["iw"], strict=True)]
+        runs = [shared_runs(Texts([a]), Texts([b])).get((0, 0), 0) for a, b in zip(pdf["dw"], pdf["iw"], strict=True)]
         yield pdf[["doc_id", "item_id"]].assign(words=runs)
 
 
+_LEAKS = "doc_id bigint, item_id bigint, words int"
+
+
+def leaks_in_one_pass(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks with all items (few) at every task."""
+    known = hashed(items, "item_id").toPandas()  # bounded by ITEMS_BYTES
+    shared = documents.sparkSession.sparkContext.broadcast((known["item_id"].to_numpy(), Texts(list(known["hashes"]))))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, texts = shared.value
+        for pdf in batches:
+            keys = pdf["doc_id"].tolist()
+            found = shared_runs(Texts(list(pdf["hashes"])), texts)
+            yield pd.DataFrame([(keys[d], ids[t], n) for (d, t), n in found.items()], columns=["doc_id", "item_id", "words"])
+
+    found = hashed(documents, "doc_id").mapInPandas(search, _LEAKS)
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))  # a repeated row comes out once
+
+
+def leaks_by_joins(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks with any number of items."""
+    have, want = materialize(fingerprints(documents, "doc_id")), materialize(fingerprints(items, "item_id"))
+    parts = have.join(want.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.ceil(F.count(F.lit(1)) / PRINT_ROWS).cast("int").alias("parts"))
+    left = have.join(parts, "print").select("doc_id", "print", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    right = want.join(parts, "print").select("item_id", "print", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = materialize(left.join(right, ["print", "part"]).select("doc_id", "item_id").distinct())
+    ids = materialize(pairs.select("doc_id").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    wanted = documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    docs, tests = hashed(wanted, "doc_id").withColumnRenamed("hashes", "dw"), hashed(items, "item_id").withColumnRenamed("hashes", "iw")
+    checked = pairs.join(docs, "doc_id").join(tests, "item_id").select("doc_id", "item_id", "dw", "iw")
+    found = checked.mapInPandas(_verify, _LEAKS).where(F.col("words") >= SPAN)
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, words``: documents that hold a run of SPAN or more words of an item, with its length."""
-    docs = documents.select("doc_id", F.col("text").alias("doc_text"))
-    tests = items.select("item_id", F.col("text").alias("item_text"))
-    small = within_bytes(tests, ITEMS_BYTES)
-    have, want = fingerprints(docs, "doc_id", "doc_text"), fingerprints(tests, "item_id", "item_text")
-    if small:
-        hits = have.join(F.broadcast(want), "print")
-    else:
-        salted = have.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
-        spread = want.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = salted.join(spread, ["print", "salt"])
-    pairs = hits.select("doc_id", "item_id").distinct()
-    candidates = pairs.join(docs, "doc_id").join(F.broadcast(tests) if small else tests, "item_id")
-    checked = candidates.select("doc_id", "item_id", words(F.col("doc_text")).alias("dw"), words(F.col("item_text")).alias("iw"))
-    return checked.mapInPandas(_verify, "doc_id bigint, item_id bigint, words int").where(F.col("words") >= SPAN)
+    documents, items = documents.select("doc_id", "text"), items.select("item_id", "text")
+    return leaks_in_one_pass(documents, items) if within_bytes(items, ITEMS_BYTES) else leaks_by_joins(documents, items)
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

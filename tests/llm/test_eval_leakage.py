@@ -40,7 +40,7 @@ def test_equals_brute_force(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id) for r in el.leaks(d, i).collect()} == want and want
-    monkeypatch.setattr(el, "ITEMS_BYTES", 0)  # the salted shuffle join
+    monkeypatch.setattr(el, "ITEMS_BYTES", 0)  # the shuffle join
     assert {(r.doc_id, r.item_id) for r in el.leaks(d, i).collect()} == want
     assert el.leaks(d.limit(0), i).count() == 0 and el.leaks(d, i.limit(0)).count() == 0
 
@@ -51,4 +51,19 @@ def test_winnowing_guarantee():
         shared = rng.integers(0, 2**63, el.SPAN - el.K + 1).astype(np.uint64)
         a = np.concatenate([rng.integers(0, 2**63, 9).astype(np.uint64), shared, rng.integers(0, 2**63, 5).astype(np.uint64)])
         b = np.concatenate([rng.integers(0, 2**63, 3).astype(np.uint64), shared, rng.integers(0, 2**63, 14).astype(np.uint64)])
-        assert set(a[el.winnow(a, el.W)]) & set(b[el.winnow(b, el.W)])
+        kept = lambda x: set(x[el.winnow(x, np.zeros(len(x)), el.W)])
+        assert kept(a) & kept(b)
+
+
+def test_repeated_rows_and_one_word_texts(spark, monkeypatch):
+    docs = [(1, "lô " * 4000), (1, "lô " * 30), (2, "giá " * 14), (None, "lô " * 20)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "LÔ, " * 25), (7, "lô " * 16)], "item_id long, text string")
+    for limit in (el.ITEMS_BYTES, 0):
+        monkeypatch.setattr(el, "ITEMS_BYTES", limit)
+        got = {(r.doc_id, r.item_id): r.words for r in el.leaks(d, i).collect()}
+        assert {k: v for k, v in got.items() if k[0] is not None} == {(1, 7): 25}
+
+
+def test_windows_stay_within_a_text():
+    texts = el.Texts([np.arange(20), np.arange(7), np.arange(15)])
+    assert set(texts.owner) == {0, 2} and all(texts.starts[o] <= a and a + el.K <= texts.ends[o] for a, o in zip(texts.at, texts.owner, strict=True))
