@@ -3,11 +3,12 @@
 Method: candidate positions (final marks with their closing quotes and
 brackets, line breaks, blanks in Thai) are decided by ordered pairs of regular
 expressions, one for what stands before the position and one for what follows;
-the first pair that matches decides break or no break. The tables cascade:
-the script's own table first (Latin with Vietnamese and English abbreviations,
-Chinese and Japanese, Thai, Hindi), then the table for all. The script is read
-off the text around the position, because the stored language may be wrong or
-missing; a text may also mix languages.
+the first pair that matches decides break or no break. The tables cascade: those
+of the languages of a script, that of the script, and the table for all; line
+breaks and ends of quotations have tables of their own. The script is read off
+the nearest letter, because the stored language may be wrong or missing; a text
+may also mix languages, so the tables of all languages of a script are asked in
+turn. Quotations are paired over the whole text, within a paragraph.
 
 The rules see a shadow of the text in which look-alike and full-width letters
 are plain and invisible characters left out; places are mapped back.
@@ -58,25 +59,38 @@ EN_BEFORE = "vs|v|e\\.g|i\\.e|approx|cf|viz|ca|c|pp|ed|eds"
 EN_NUMBERED = "No|Nos|Fig|Figs|Vol|Art|Sec|Ch|Eq|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec|p|Đ|[Ss]ố"
 COMPANY = "Corp|Inc|Ltd|Co|Bros|JSC|LLC"
 CLOSERS = "'”’»」』)\\]）】》〉"
-FINAL = ".!?…。！？।॥؟．"
+FINAL = ".!?…。！？।॥؟．។៕။۔።፧։།"
+#: signs that rules ask for, put before or after the text: quotation that opens its sentence, item of a list, line break, blank line
+OPENS, ITEM_LINE, LINE, BLANK_LINE = "\x02\x03\x04\x05"
+#: characters that the rules for what stands before a mark may take in (blanks at their left and closers at their right not counted)
+LEAD = 24
+
+ITEM = rf"(?:[-•*·▪◦‣–—]|\(?\d{{1,3}}[.)]|\(?[{LOW}]\)|\(?[ivx]{{1,4}}\)|\(?[IVX]{{1,4}}[.)]){SP}(?=\S)(?<=[\s.)])"
+_STOPPED = rf"[{FINAL}][{CLOSERS}\"]?"
+_ABBREVIATED = rf"(?<![\w.])(?:(?:{VI_TITLES}|{EN_TITLES}|{EN_BEFORE}|{EN_NUMBERED}|[{UP}])\.|[{UP}]\.)"
 
 #: each table: (break?, before, after); the first pair that matches decides
 TABLES: dict[str, list[tuple[bool, str, str]]] = {
-    "latin": [
+    "numbers": [
         (False, r"\d\.", r"\d"),
         (False, rf"(?:^|\n){SP}\(?\d{{1,3}}\.", rf"{SP}\S"),  # number of a list item
-        (False, rf"(?<![\w.])(?:{VI_TITLES}|{EN_TITLES})\.", rf"{SP}[{UP}{CJK}\d]"),
+    ],
+    "vietnamese": [(False, rf"(?<![\w.])(?:{VI_TITLES})\.", rf"{SP}[{UP}{CJK}\d]")],
+    "english": [
+        (False, rf"(?<![\w.])(?:{EN_TITLES})\.", rf"{SP}[{UP}{CJK}\d]"),
         (False, rf"(?<![\w.])(?:{EN_BEFORE})\.", r""),
         (False, rf"(?<![\w.])(?:{EN_NUMBERED})\.", rf"{SP}[\d#IVX]"),
-        (False, rf"(?<![\w.])[{UP}]\.", rf"{SP}[{UP}]"),  # initial of a name
         (False, rf"(?<!\w)(?:{COMPANY})\.['”’»)\]）]*", rf"{SP}[^{UP}\s\"“「«\d{CJK}]|[{CJK}]"),
+    ],
+    "latin": [
+        (False, rf"(?<![\w.])[{UP}]\.", rf"{SP}[{UP}]"),  # initial of a name
         (False, r"(?:\.\.+|…)", rf"{SP}[\d]"),
         (True, rf"[{LOW}\d%)\]™²]\.", rf"[{UP}][{LOW}̀-ͯ]"),  # blank left out after the stop
         (True, rf"(?:[{LOW}]\.){{2}}", rf"[{UP}][{LOW}̀-ͯ]"),
         (True, rf"[{LOW}{UP}\d)\]\"”]{{2}}\.", rf"[{UP}][{LOW}̀-ͯ]|[{CJK}{THAI}{INDIC}]"),
         (False, r"\.", r"[\w@/\\-]"),
     ],
-    "cjk": [
+    "chinese and japanese": [
         (False, r"…", rf"[^{FINAL}\s]"),  # an ellipsis inside the running sentence
         (False, r"\.", rf"[{CJK}\w]"),
         (True, r"[。！？!?．]", r""),
@@ -90,9 +104,30 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"", r"[,;:)\]–-]"),
         (True, r"", r""),
     ],
-    "indic": [
+    "hindi": [
         (True, r"[।॥]", r""),
         (False, r"\d\.", r"\d"),
+        (False, r"(?<![\w.])(?:डॉ|प्रो|श्री|सुश्री)\.", rf"{SP}\S"),
+    ],
+    "others": [(True, r"[។៕။۔።፧։།]", r"")],  # Khmer, Burmese, Urdu, Ethiopic, Armenian, Tibetan
+    "quoted": [  # after a quotation with a stop at its end
+        (False, OPENS, r""),
+        (False, r"", r"[とはがをにのでもって、，,;:]"),
+        (True, r"", r""),
+    ],
+    "line": [
+        (True, BLANK_LINE, r""),
+        (True, rf"(?:{_STOPPED}|[:：]){LINE}", ITEM),
+        (True, rf"^{ITEM_LINE}(?s:.*)", ITEM),
+        (True, r"", rf"(?![–—*·]){ITEM}"),
+        (False, r"", ITEM),
+        (False, r"", rf"[{LOW},;:)\]）】，；：、%–—]"),
+        (False, rf"[,;–—，、(（/&]{LINE}", r""),
+        (False, rf"{_ABBREVIATED}{LINE}", r""),
+        (True, rf"{_STOPPED}{LINE}", r""),
+        (True, rf"^{ITEM_LINE}(?s:.*)", r""),
+        (False, r"", r"\d[\d.,]*(?!\w)"),
+        (True, r"", r""),
     ],
     "all": [
         (False, r"", rf"{SP}[,;:、，；：·\])）】%]"),
@@ -105,21 +140,31 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"", r""),
     ],
 }
+#: tables asked in turn, by script of the nearest letter, or by kind of position
+CASCADES = {
+    "latin": ("numbers", "vietnamese", "english", "latin", "others", "all"),
+    "cjk": ("chinese and japanese", "others", "all"),
+    "indic": ("hindi", "others", "all"),
+    "thai mark": ("others", "all"),
+    "thai": ("thai",),
+    "quoted": ("quoted",),
+    "line": ("line",),
+}
 _COMPILED = {
     name: [(cut, re.compile(f"(?:{b})[{CLOSERS}\"]*\\Z") if b else None, re.compile(a) if a else None) for cut, b, a in rules]
     for name, rules in TABLES.items()
 }
+_RULES = {name: [rule for t in tables for rule in _COMPILED[t]] for name, tables in CASCADES.items()}
 
 #: full stops before a digit or small letter never end a sentence and are no candidates
 _MARK = rf"[.]++(?![{LOW}\d])|[{FINAL[1:]}][{FINAL}]*+"
 _CANDIDATE = re.compile(f"{_MARK}|[\\r\\n]\\s*")
 _CANDIDATE_THAI = re.compile(f"{_MARK}|[\\r\\n]\\s*|(?<=[{THAI}])[^\\S\\r\\n]+(?=\\S)|(?<=\\S)[^\\S\\r\\n]+(?=[{THAI}])")
 _QUOTED = re.compile(
-    r'(?<![^\s(\[:：，。、—–-])"(?=\S)(?:[^"\n]|\n(?!\s*\n)){0,600}?(?<=\S)"(?!\w)'
-    r"|“(?:[^“”\n]|\n(?!\s*\n)){0,600}”|«(?:[^«»\n]|\n(?!\s*\n)){0,600}»|「(?:[^「」\n]|\n(?!\s*\n)){0,600}」|『[^『』]{0,600}』"
+    r'(?<![^\s(\[:：，。、—–-])"(?=\S)(?:[^"\n]|\n(?!\s*\n))*+(?<=\S)"(?!\w)'
+    r"|“(?:[^“”\n]|\n(?!\s*\n))*+”|«(?:[^«»\n]|\n(?!\s*\n))*+»|「(?:[^「」\n]|\n(?!\s*\n))*+」|『[^『』]*+』"
 )
-_ITEM = re.compile(rf"(?:[-•*·▪◦‣–—]|\(?\d{{1,3}}[.)]|\(?[{LOW}]\)|\(?[ivx]{{1,4}}\)|\(?[IVX]{{1,4}}[.)]){SP}(?=\S)(?<=[\s.)])")
-_TITLE_END = re.compile(rf"(?<![\w.])(?:(?:{VI_TITLES}|{EN_TITLES}|{EN_BEFORE}|{EN_NUMBERED}|[{UP}])\.|[{UP}]\.)\Z")
+_ITEM = re.compile(ITEM)
 _THAI = re.compile(f"[{THAI}]")
 _ODD = re.compile(f"[{BLANKS}{INVISIBLE}{''.join(CYRILLIC)}{''.join(GREEK)}{''.join(LATIN)}０-９Ａ-Ｚａ-ｚ．]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
@@ -129,9 +174,9 @@ _PLAIN = str.maketrans(
 )
 
 
-def _script(text: str, at: int) -> str:
-    """Table for the position: script of the nearest letter before it, else after it."""
-    for i in range(at - 1, max(-1, at - 40), -1):
+def _script(text: str, at: int, known: tuple[int, str] = (0, "latin")) -> str:
+    """Script of the nearest letter before the position; ``known`` is a place further left whose script is known."""
+    for i in range(at - 1, known[0] - 1, -1):
         o = ord(text[i])
         if 0x0E00 <= o < 0x0E80:
             return "thai"
@@ -141,36 +186,22 @@ def _script(text: str, at: int) -> str:
             return "cjk"
         if text[i].isalpha():
             return "latin"
-    return "latin"
+    return known[1]
 
 
 def _decide(name: str, text: str, lead: str, at: int) -> bool:
-    for table_name in (name, "all"):
-        for cut, before, after in _COMPILED[table_name]:
-            if (after is None or after.match(text, at)) and (before is None or before.search(lead)):
-                return cut
+    for cut, before, after in _RULES[name]:
+        if (after is None or after.match(text, at)) and (before is None or before.search(lead)):
+            return cut
     return False
 
 
-def _line_break(text: str, a: int, b: int, start: int, item_line: bool) -> bool:
-    """Whether the white space text[a:b], which holds a line break, ends the sentence begun at ``start``."""
-    gap = text[a:b]
-    if gap.count("\n") > 1 or (gap.count("\r") > 1 and "\n" not in gap):
-        return True
-    nxt, prev = text[b], text[a - 1]
-    stopped = prev in FINAL or (prev in CLOSERS + '"' and a > 1 and text[a - 2] in FINAL)
-    item = _ITEM.match(text, b)
-    if item:
-        return stopped or item_line or prev in ":：" or nxt not in "–—*·"
-    if nxt.islower() or nxt in ",;:)]）】，；：、%–—":
-        return False
-    if prev in ",;–—，、(（/&" and not stopped:
-        return False
-    if _TITLE_END.search(text[max(start, a - 8) : a]):
-        return False
-    if not stopped and not item_line and re.match(r"\d[\d.,]*(?!\w)", text[b : b + 24]):
-        return False
-    return True
+def _lead(text: str, start: int, mark: int, at: int) -> str:
+    """What stands before ``at``, as far as rules look; LEAD characters before ``mark``, and all blanks if it begins with some."""
+    a = max(start, mark - LEAD)
+    while a > start and text[a].isspace() and text[a - 1].isspace():
+        a -= 1
+    return ("\n" if a == start and (start == 0 or text[start - 1] == "\n") else "") + text[a:at]
 
 
 def _cut_plain(text: str) -> list[tuple[int, int]]:
@@ -184,10 +215,12 @@ def _cut_plain(text: str) -> list[tuple[int, int]]:
         start += 1
     item_line = bool(_ITEM.match(text, start)) if start < n else False
     skip = 0
+    known = (0, "latin")
     for m in (_CANDIDATE_THAI if thai else _CANDIDATE).finditer(text):
         a, b = m.span()
         if a < skip or a < start:
             continue
+        known = (a, _script(text, a, known))
         quote = bisect_right(opens, a) - 1
         inside = quote >= 0 and spans[quote][0] < a < spans[quote][1]
         first = text[a]
@@ -203,21 +236,13 @@ def _cut_plain(text: str) -> list[tuple[int, int]]:
                 k += 1
             if k >= n or text[k] in "\r\n":
                 continue  # the line break, or the end, decides
-            if text[k].islower():
-                continue  # no table breaks before a small letter
             shut = next((i for i in range(b, at) if i in closes), None)
             if shut is not None:
-                if closes[shut] == start or text[k] in "とはがをにのでもって、，,":
-                    continue  # the sentence goes on after the quotation that opens it
-                cut = text[k] not in ",;:"
+                cut = not text[k].islower() and _decide("quoted", text, OPENS if closes[shut] == start else "", k)
+            elif known[1] in ("latin", "thai") and text[k].islower():
+                continue  # none of their tables breaks before a small letter
             else:
-                lead = text[max(start, b - 24) : at]
-                if max(start, b - 24) == start and (start == 0 or text[start - 1] == "\n"):
-                    lead = "\n" + lead
-                name = _script(text, a)
-                if name == "thai":
-                    name = "all"
-                cut = _decide(name, text, lead, at)
+                cut = _decide("thai mark" if known[1] == "thai" else known[1], text, _lead(text, start, b, at), at)
             end, nxt = at, k
         elif first in "\r\n":
             if b >= n:
@@ -228,16 +253,18 @@ def _cut_plain(text: str) -> list[tuple[int, int]]:
                 continue
             if inside and m[0].count("\n") < 2:
                 continue
-            cut = _line_break(text, a, b, start, item_line)
+            gap = text[a:b]
+            blank = gap.count("\n") > 1 or (gap.count("\r") > 1 and "\n" not in gap)
+            cut = _decide("line", text, (ITEM_LINE if item_line else "") + text[max(start, a - LEAD) : a] + (BLANK_LINE if blank else LINE), b)
             if not cut and thai and (_THAI.match(text[a - 1]) or _THAI.match(text[b])) and not text[b].islower():
-                cut = _decide("thai", text, text[max(start, a - 24) : a], b)
+                cut = _decide("thai", text, text[max(start, a - LEAD) : a], b)
             if not cut and _ITEM.match(text, b) is None and nxt_script_differs(text, a, b):
                 cut = True
             end, nxt = a, b
         else:
             if inside or text[a - 1] in FINAL:
                 continue
-            cut = _decide("thai", text, text[max(start, a - 24) : a], b)
+            cut = _decide("thai", text, text[max(start, a - LEAD) : a], b)
             end, nxt = a, b
         if cut and end > start:
             out.append((start, end))

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomgraph.llm import sentences
 from loomgraph.llm.sentences import cut_sentences, segment
 
 CASES = [
@@ -42,3 +43,49 @@ def test_segment(spark):
     got = segment(df, "rec_id").collect()
     assert sorted((r.start_pos, r.end_pos) for r in got if r.rec_id == 1) == [(0, 4), (5, 9)] and {r.rec_id for r in got} == {1, 4}
     assert segment(df.limit(0), "rec_id").count() == 0
+
+
+def _texts(text):
+    return [text[a:b] for a, b in cut_sentences(text)]
+
+
+def test_long_quotations_stay_whole():
+    quote = "Giá vốn giảm. " * 80
+    for left, right in ('""', "“”", "«»", "「」"):
+        text = f"Ông nói {left}{quote.strip()}{right} với báo chí. Giá tăng."
+        assert len(_texts(text)) == 2
+    assert len(_texts('Ông nói "' + quote)) == 80  # never closed
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Ông TS. An đến TP. Huế ngày 5.6. Giá tăng.", ["Ông TS. An đến TP. Huế ngày 5.6.", "Giá tăng."]),
+        ("Dr. Lee met Mr. Kim, e.g. in No. 5. Prices rose.", ["Dr. Lee met Mr. Kim, e.g. in No. 5.", "Prices rose."]),
+        ("股价上涨。iPhone销量下降。", ["股价上涨。", "iPhone销量下降。"]),
+        ("डॉ. शर्मा आए। कीमत 5.5 बढ़ी।", ["डॉ. शर्मा आए।", "कीमत 5.5 बढ़ी।"]),
+        ("តម្លៃឡើង។ ទីផ្សារចុះ។", ["តម្លៃឡើង។", "ទីផ្សារចុះ។"]),
+        ("ဈေးတက်သည်။ ဈေးကျသည်။", ["ဈေးတက်သည်။", "ဈေးကျသည်။"]),
+        ("قیمت بڑھی۔ بازار گرا۔", ["قیمت بڑھی۔", "بازار گرا۔"]),
+        ("ዋጋ ጨምሯል። ገበያ ወረደ።", ["ዋጋ ጨምሯል።", "ገበያ ወረደ።"]),
+        ("ราคา 5 บาท ตลาดหุ้น", ["ราคา 5 บาท", "ตลาดหุ้น"]),
+        ("「雇用は守る。投資も続ける。」と述べた。株価は上がった。", ["「雇用は守る。投資も続ける。」と述べた。", "株価は上がった。"]),
+    ],
+)
+def test_languages(text, want):
+    assert _texts(text) == want
+
+
+def test_script_is_the_nearest_letter_however_far():
+    digits = "7 " * 60
+    assert _texts(f"股价 {digits}。abc {digits}") == [f"股价 {digits}。", f"abc {digits}".strip()]
+    assert len(_texts("! " * 30000)) == 30000
+
+
+def test_rules_look_no_farther_than_they_may():
+    from re import _parser
+
+    for name, rules in sentences.TABLES.items():
+        for _, before, _ in rules:
+            if before and name != "line" and sentences.SP not in before:
+                assert _parser.parse(before).getwidth()[1] <= sentences.LEAD or before.endswith(("*", r"\.\.+|…)", r"…|。|！|？|।)")), before
