@@ -4,11 +4,19 @@ Method: a text is cut into leaves of at most ``LEAF`` characters, at places
 where the tokenizer's own splitting always cuts (before a single blank between
 two other characters) if there is one; texts of one leaf are encoded where they
 lie. The leaves of longer texts are encoded in parallel as rows of their own and
-concatenated pairwise, level by level. A join at an always-cut place needs
-nothing; at any other join ("unsplit text") a window around it is encoded anew
-and grown until its first tokens agree with the left side's and its last ones
-with the right side's. Adjacent tokens decide a BPE encoding, so agreement at
-both seams makes the concatenation exact.
+concatenated pairwise: each level of the tree is one shuffle by (text, pair), so
+the halves of one long text are joined by as many tasks as there are pairs. A
+join at an always-cut place needs nothing; at any other join ("unsplit text") a
+window around it is encoded anew and grown until its first tokens agree with the
+left side's and its last ones with the right side's. Adjacent tokens decide a BPE
+encoding; where the outermost tokens of the window are those of the side, the
+pair at each seam is one that stands in that side's own encoding, so the whole
+is the encoding of the whole. ``AGREE`` tokens are asked for rather than one, so
+that the splits of the tokenizer have fallen into step as well (tested against
+the whole encoding of texts without any safe place).
+
+Every row is followed by a number of its own, so rows with equal or null keys
+stay apart.
 
 Defined results: null and empty texts give an empty list; blank texts are
 encoded as they are; strings of special tokens are ordinary text.
@@ -28,10 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.runtime import table
+from loomgraph.plans.runtime import materialize, table
 
 NAME = "byte_bpe_50k"
 LEAF = 8192
+#: tokens on which a window and the side it is set in must agree
+AGREE = 8
 #: the pattern by which byte-level BPE tokenizers of this family split a text first
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -103,13 +113,13 @@ def _starts_inside(enc, token: int) -> bool:
 
 
 def _agree(enc, new: list[int], old: list[int]) -> int | None:
-    """Number of tokens at the outer edge on which both agree, if it covers a split of the tokenizer."""
+    """Number of tokens at the outer edge on which both agree, if they are enough."""
     same = 0
     for x, y in zip(new, old, strict=False):
         if x != y:
             break
         same += 1
-    return same if same >= 8 else None
+    return same if same >= AGREE else None
 
 
 def encode_text(enc, text: str | None, size: int = LEAF) -> list[int]:
@@ -141,42 +151,61 @@ def _encode_short(path: str):
     return run
 
 
-def _to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for key, text in zip(pdf["key"], pdf["text"], strict=True):
-            parts = leaves(text)
-            yield pd.DataFrame({"key": key, "leaf": range(len(parts)), "safe": [s for _, s in parts], "text": [t for t, _ in parts]})
+def _to_leaves(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, key, text in zip(pdf["row"], pdf["key"], pdf["text"], strict=True):
+                parts = leaves(text)
+                yield pd.DataFrame({"row": row, "key": key, "node": range(len(parts)), "nodes": len(parts), "safe": [s for _, s in parts], "text": [t for t, _ in parts]})
+
+    return run
 
 
 def _encode_leaves(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            yield pdf[["key", "leaf", "safe"]].assign(ids=[enc.encode_ordinary(t) for t in pdf["text"]])
+            yield pdf.drop(columns="text").assign(ids=[enc.encode_ordinary(t) for t in pdf["text"]])
 
     return run
 
 
-def _grow(path: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _join_pairs(path: str):
+    """Joins neighbouring nodes 2k and 2k + 1 of each text; rows come in the order of (row, node)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        pdf = pdf.sort_values("leaf")
-        ids = tree(enc, [(list(map(int, i)), bool(s)) for i, s in zip(pdf["ids"], pdf["safe"], strict=True)])
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [ids]})
+        left = None
+        for pdf in batches:
+            out = []
+            for row, key, node, nodes, safe, ids in zip(*(pdf[c] for c in _NODE), strict=True):
+                here = (row, key, node // 2, (nodes + 1) // 2, safe, [int(i) for i in ids])
+                if node % 2 == 0 and node + 1 < nodes:
+                    left = here
+                elif node % 2 == 0:
+                    out.append(here)
+                else:
+                    out.append((*left[:5], concatenate(enc, left[5], here[5], safe)))
+            yield pd.DataFrame(out, columns=_NODE)
 
     return run
 
 
+_NODE = ["row", "key", "node", "nodes", "safe", "ids"]
+_NODES = "row bigint, key bigint, node bigint, nodes bigint, safe boolean, ids array<int>"
+
+
 def encode(df: DataFrame, key: str, column: str = "text", path: str | None = None) -> DataFrame:
-    """``key, ids`` of every row. Only texts above one leaf are shuffled, as leaves."""
+    """``key, ids`` of every row. Only texts above one leaf are shuffled, as leaves and as nodes of the tree."""
     path = path or vocabulary_path()
-    rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
-    schema = "key bigint, ids array<int>"
-    short = rows.where(f"text is null or length(text) <= {LEAF}").mapInPandas(_encode_short(path), schema)
-    pieces = rows.where(f"length(text) > {LEAF}").mapInPandas(_to_leaves, "key bigint, leaf int, safe boolean, text string")
-    encoded = pieces.repartition("key", "leaf").mapInPandas(_encode_leaves(path), "key bigint, leaf int, safe boolean, ids array<int>")
-    long = encoded.groupBy("key").applyInPandas(_grow(path), schema)
-    return short.unionByName(long).withColumnRenamed("key", key)
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("text"))
+    short = rows.where(f"text is null or length(text) <= {LEAF}").mapInPandas(_encode_short(path), "key bigint, ids array<int>")
+    long = rows.where(f"length(text) > {LEAF}").withColumn("row", F.monotonically_increasing_id())
+    pieces = materialize(long.mapInPandas(_to_leaves(path), "row bigint, key bigint, node bigint, nodes bigint, safe boolean, text string"))  # fixes the row numbers
+    nodes = pieces.repartition("row", "node").mapInPandas(_encode_leaves(path), _NODES)
+    for _ in range(int(pieces.agg(F.coalesce(F.max("nodes"), F.lit(1))).first()[0] - 1).bit_length()):
+        paired = nodes.withColumn("pair", F.expr("node div 2"))
+        nodes = paired.repartition("row", "pair").sortWithinPartitions("row", "node").drop("pair").mapInPandas(_join_pairs(path), _NODES)
+    return short.unionByName(nodes.select("key", "ids")).withColumnRenamed("key", key)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

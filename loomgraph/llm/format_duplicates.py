@@ -5,12 +5,12 @@ JVM, undirected relations get their two ends in sorted order, the canonical key
 is hashed to 128 bits (two independently seeded xxhash64), and min(id)/count
 are aggregated on the hash, which Spark combines on the map side, so a key held
 by a third of all rows leaves every task as a single row. A third, independent
-digest travels along; a group in which it differs is a hash collision and is
-regrouped on the whole canonical key.
+digest travels along; a group in which it differs holds a hash collision, and the
+rows of such groups are read again and grouped by the whole canonical key.
 
 Joining copies back to their group is split: groups holding at least 1/4096 of
 all rows (at most 4096 of them, whatever the data) are broadcast, the others
-are joined by shuffle.
+are joined by shuffle, whose partitions are split by their bytes when they are skewed.
 
 Defined results: null or blank subject, relation or obj: no case. Null
 ``source_id`` equals null only. Text without any letter or digit canonicalizes
@@ -84,20 +84,21 @@ def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys, groups): keys has one row a record (triple_id, h1, h2, check); groups kept_id and copies per 128-bit key."""
+    """(keys, groups): keys has one row a record (triple_id, h1, h2, part, check); groups kept_id and copies per 128-bit key (and part of it, after a collision)."""
     keys = keyed(records)
-    slim = materialize(keys.select("triple_id", "h1", "h2", "check"))
-    groups = slim.groupBy("h1", "h2").agg(
-        F.min("triple_id").alias("kept_id"), F.count(F.lit(1)).alias("copies"),
-        F.min("check").alias("check"), F.max("check").alias("check_max"),
-    )
-    collided = groups.where("check <> check_max").select("h1", "h2")
-    if not collided.isEmpty():  # practically never: regroup what collided on the third digest as well
-        slim = slim.withColumn("h2", F.xxhash64("h2", "check"))
-        groups = slim.groupBy("h1", "h2").agg(
-            F.min("triple_id").alias("kept_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("check")
-        )
-    return slim, groups.select("h1", "h2", "kept_id", "copies").where("copies > 1")
+    slim = materialize(keys.select("triple_id", "h1", "h2", F.lit(0).cast("bigint").alias("part"), "check"))
+    count = [F.min("triple_id").alias("kept_id"), F.count(F.lit(1)).alias("copies")]
+    groups = slim.groupBy("h1", "h2", "part").agg(*count, F.min("check").alias("check"), F.max("check").alias("check_max"))
+    collided = materialize(groups.where("check <> check_max").select("h1", "h2"))
+    if not collided.isEmpty():  # practically never: the whole key parts what the hashes do not
+        whole = ["h1", "h2", "relation", "source_id", "a", "b"]
+        mixed = keys.join(collided, ["h1", "h2"], "left_semi")
+        parts = mixed.groupBy(*whole).agg(F.min("triple_id").alias("part"))  # the smallest id tells one key from another
+        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in whole]
+        apart = mixed.alias("k").join(parts.alias("p"), same).select("k.triple_id", "k.h1", "k.h2", "p.part", "k.check")
+        slim = materialize(slim.join(collided, ["h1", "h2"], "left_anti").select(*slim.columns).unionByName(apart))
+        groups = slim.groupBy("h1", "h2", "part").agg(*count)
+    return slim, groups.select("h1", "h2", "part", "kept_id", "copies").where("copies > 1")
 
 
 def copies(records: DataFrame) -> DataFrame:
@@ -106,7 +107,8 @@ def copies(records: DataFrame) -> DataFrame:
     least = max(2, slim.count() // HOT_SHARE)
     hot = groups.where(F.col("copies") >= least)  # at most HOT_SHARE rows
     cold = groups.where(F.col("copies") < least)
-    parts = [slim.join(F.broadcast(hot), ["h1", "h2"]), slim.join(cold, ["h1", "h2"])]
+    group = ["h1", "h2", "part"]
+    parts = [slim.join(F.broadcast(hot), group), slim.join(cold, group)]
     pairs = parts[0].select("kept_id", "triple_id").unionByName(parts[1].select("kept_id", "triple_id"))
     return pairs.where("triple_id <> kept_id").select("kept_id", F.col("triple_id").alias("copy_id"))
 

@@ -33,6 +33,8 @@ from loomgraph.plans.runtime import table
 
 LIMIT = 600
 OVERLAP = 60
+#: a sentence end that would leave a piece shorter than this is passed over for a later clause or word (0: never)
+LEAST = 0
 
 _clause = re.compile(r"[,;:、，；：)\]）】|–—]\s*")
 _space = re.compile(r"\s+")
@@ -60,7 +62,7 @@ def _levels(text: str) -> np.ndarray:
     return rank
 
 
-def successors(rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+def successors(rank: np.ndarray, limit: int, overlap: int, least: int = LEAST) -> np.ndarray:
     """For a cut at each position the farthest legal next cut, of the highest rank within reach."""
     n = len(rank) - 1
     at = np.arange(n + 1)
@@ -70,8 +72,7 @@ def successors(rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     done = reach >= n
     for level in (4, 3, 2, 1):
         last = np.maximum.accumulate(np.where(rank >= level, at, -1))[np.maximum(reach, 0)]
-        # a cut must lead on; a sentence end that leaves a piece under a quarter of the limit is passed over
-        enough = last > at if level < 4 else last >= np.minimum(start + limit // 4, n)
+        enough = last > at if level < 4 else last >= np.minimum(start + least, n)  # a cut must lead on
         take = ~done & (last > at) & enough
         succ[take] = last[take]
         done |= take

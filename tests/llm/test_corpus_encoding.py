@@ -37,3 +37,12 @@ def test_column(spark, enc):
     got = {r.doc_id: r.ids for r in ce.encode(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
     assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in rows}
     assert ce.encode(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
+
+
+def test_equal_and_null_keys_stay_apart(spark, enc, monkeypatch):
+    rng = random.Random(2)
+    long = ["".join(rng.choice(["漢", "aa", "'s", "=-", "1"]) for _ in range(n)) for n in (9000, 20000, 30000)]
+    rows = [(1, long[0]), (1, long[1]), (None, long[2]), (None, long[0]), (2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", spark.range(1).select("id").limit(1).scalar())
+    got = sorted(((r.doc_id or -1), r.ids) for r in ce.encode(df, "doc_id").collect())
+    assert got == sorted((i or -1, enc.encode_ordinary(t)) for i, t in rows)
