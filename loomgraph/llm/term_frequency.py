@@ -1,11 +1,15 @@
 """Frequency of every distinct term by a global integer dictionary and count arrays.
 
-Method: every input block counts its own terms (occurrences and records, the
-map-side combine); the distinct terms are range-partitioned and get dense
-integer ids (partition offset + place); the block counts are encoded through a
-join on the term, in which a term holding a third of all occurrences is one row
-a block; encoded counts are brought together by identifier range and summed
-into dense count arrays, one pair of arrays a range of ``RANGE`` ids.
+Method: the distinct terms, combined in each block before anything is shuffled,
+are range-partitioned and get dense integer ids (partition offset + place). The
+terms of every record are then encoded by that dictionary, and each block adds
+them to count arrays of occurrences and of records, one pair of arrays for each
+range of ``RANGE`` ids; a block sends on only the filled places of its arrays, so
+a term that holds a third of all occurrences is one entry a block. The arrays
+are summed by identifier range, one range at a time.
+
+A dictionary of at most ``BROADCAST_TERMS`` terms is sent to every block. A larger
+one is joined by a shuffle, for which every block first counts its own terms.
 
 Defined results: null and blank values give no term; a value without letters or
 digits gives none; relation terms are whole trimmed values; an empty table
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from loomgraph.plans.runtime import materialize, table
 
 RANGE = 4096
+#: terms up to which the dictionary is broadcast (about 60 bytes each)
+BROADCAST_TERMS = 500_000
 RARE_ROWS = 2
 COMMON_SHARE = 0.08
 FIELDS = ("subject", "relation", "obj")
@@ -47,20 +53,10 @@ def record_terms(records: DataFrame) -> DataFrame:
     ).select("field_name", "term", F.size(F.filter("terms", lambda v: v == F.col("term"))).cast("bigint").alias("occ"))
 
 
-def block_counts(records: DataFrame) -> DataFrame:
-    """Counts of each input block: combined inside the block's own task before anything is shuffled."""
-    return (
-        record_terms(records)
-        .withColumn("block", F.spark_partition_id())
-        .groupBy("block", "field_name", "term")
-        .agg(F.sum("occ").alias("occ"), F.count(F.lit(1)).alias("recs"))
-    )
-
-
-def dictionary(blocks: DataFrame) -> DataFrame:
+def dictionary(terms: DataFrame) -> DataFrame:
     """``field_name, term, term_id``: dense ids in range order of (field_name, term)."""
     distinct = materialize(
-        blocks.select("field_name", "term").distinct().repartitionByRange("field_name", "term")
+        terms.select("field_name", "term").distinct().repartitionByRange("field_name", "term")
         .withColumn("mono", F.monotonically_increasing_id())
     )
     part, place = F.shiftright("mono", 33), F.col("mono").bitwiseAND((1 << 33) - 1)
@@ -75,33 +71,60 @@ def dictionary(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _sum_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def encoded(records: DataFrame, words: DataFrame) -> DataFrame:
+    """``rng, slot, occ, recs``: terms of every record by the dictionary, in the partitions of the records where it is broadcast."""
+    terms = record_terms(records)
+    if words.count() <= BROADCAST_TERMS:
+        found = terms.join(F.broadcast(words), ["field_name", "term"]).select("term_id", "occ", F.lit(1).cast("bigint").alias("recs"))
+    else:  # each block counts its own terms before they are shuffled to the dictionary
+        blocks = terms.withColumn("block", F.spark_partition_id()).groupBy("block", "field_name", "term").agg(F.sum("occ").alias("occ"), F.count(F.lit(1)).alias("recs"))
+        found = blocks.join(words, ["field_name", "term"]).select("term_id", "occ", "recs")
+    return found.select(F.expr(f"term_id div {RANGE}").alias("rng"), (F.col("term_id") % RANGE).cast("int").alias("slot"), "occ", "recs")
+
+
+def _block_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Count arrays of one block, a pair for each range of ids met; only the filled places leave it."""
+    sums: dict[int, np.ndarray] = {}
     for pdf in batches:
-        for rng, part in pdf.groupby("rng", sort=False):
-            occ, recs = sums.setdefault(int(rng), (np.zeros(RANGE, np.int64), np.zeros(RANGE, np.int64)))
-            slot = part["slot"].to_numpy()
-            np.add.at(occ, slot, part["occ"].to_numpy())
-            np.add.at(recs, slot, part["recs"].to_numpy())
-    for rng in list(sums):
+        code = pdf["rng"].to_numpy(np.int64) * RANGE + pdf["slot"].to_numpy(np.int64)
+        ids, at = np.unique(code, return_inverse=True)
+        occ = np.bincount(at, pdf["occ"].to_numpy(float), len(ids)).astype(np.int64)
+        recs = np.bincount(at, pdf["recs"].to_numpy(float), len(ids)).astype(np.int64)
+        bounds = np.flatnonzero(np.diff(ids // RANGE, prepend=-1))
+        for a, b in zip(bounds, [*bounds[1:], len(ids)], strict=True):
+            both = sums.setdefault(int(ids[a] // RANGE), np.zeros((2, RANGE), np.int64))
+            both[:, ids[a:b] % RANGE] += (occ[a:b], recs[a:b])
+    for rng in sorted(sums):
         occ, recs = sums.pop(rng)
-        yield pd.DataFrame({"rng": [rng], "occ": [occ], "recs": [recs]})
+        slots = np.flatnonzero(recs)
+        yield pd.DataFrame({"rng": [rng], "slots": [slots.astype(np.int32)], "occ": [occ[slots]], "recs": [recs[slots]]})
+
+
+def _sum_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the block arrays; rows come in the order of ranges, so that one range is held at a time."""
+    at, both = None, np.zeros((2, RANGE), np.int64)
+    for pdf in batches:
+        for rng, slots, occ, recs in zip(pdf["rng"], pdf["slots"], pdf["occ"], pdf["recs"], strict=True):
+            if at is not None and rng != at:
+                yield pd.DataFrame({"rng": [at], "occ": [both[0].copy()], "recs": [both[1].copy()]})
+                both[:] = 0
+            at = rng
+            both[:, slots] += (occ, recs)
+    if at is not None:
+        yield pd.DataFrame({"rng": [at], "occ": [both[0]], "recs": [both[1]]})
 
 
-def count_arrays(blocks: DataFrame, words: DataFrame) -> DataFrame:
+def count_arrays(records: DataFrame, words: DataFrame) -> DataFrame:
     """``rng, occ, recs``: count arrays of RANGE ids each, summed over all blocks."""
-    encoded = blocks.join(words, ["field_name", "term"]).select(
-        F.expr(f"term_id div {RANGE}").alias("rng"), (F.col("term_id") % RANGE).cast("int").alias("slot"), "occ", "recs"
-    )
-    return encoded.repartition("rng").mapInPandas(_sum_arrays, "rng bigint, occ array<bigint>, recs array<bigint>")
+    blocks = encoded(records, words).mapInPandas(_block_arrays, "rng bigint, slots array<int>, occ array<bigint>, recs array<bigint>")
+    return blocks.repartition("rng").sortWithinPartitions("rng").mapInPandas(_sum_arrays, "rng bigint, occ array<bigint>, recs array<bigint>")
 
 
 def term_counts(records: DataFrame) -> DataFrame:
     """``field_name, term, term_id, occurrences, records`` of every term."""
-    blocks = materialize(block_counts(records))
-    words = dictionary(blocks)
+    words = materialize(dictionary(record_terms(records)))
     counts = (
-        count_arrays(blocks, words)
+        count_arrays(records, words)
         .select("rng", F.posexplode(F.arrays_zip("occ", "recs")).alias("slot", "c"))
         .where("c.recs > 0")
         .select((F.col("rng") * RANGE + F.col("slot")).alias("term_id"), F.col("c.occ").alias("occurrences"), F.col("c.recs").alias("records"))

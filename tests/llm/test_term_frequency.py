@@ -35,3 +35,11 @@ def test_counts_and_marks(spark):
 
 def test_empty(spark):
     assert tf.marked_terms(spark.createDataFrame([], "subject string, relation string, obj string")).count() == 0
+
+
+def test_large_dictionaries_give_the_same(spark, monkeypatch):
+    rows = [(f"Tập đoàn {i % 90}", f"R{i % 3}", f"x{i} y{i % 11} x{i}", 0) for i in range(700)]
+    df = spark.createDataFrame(rows, "subject string, relation string, obj string, term int").repartition(4)
+    monkeypatch.setattr(tf, "RANGE", 64)
+    monkeypatch.setattr(tf, "BROADCAST_TERMS", 0)
+    assert {(r.field_name, r.term, r.occurrences, r.records) for r in tf.marked_terms(df).collect()} == brute(rows)
