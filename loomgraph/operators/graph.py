@@ -2,9 +2,13 @@
 
 Graphs of at most ``LOCAL_EDGES`` edges (checked by a count) are analysed by
 array code in the executors: components and PageRank in one task, betweenness
-spread over tasks by source. Beyond that bound the same measures run as
-iterative joins whose state is kept in the shared checkpoint folder, so they
-survive the loss of executors. Both give the same values; tests compare them.
+spread over tasks by source, if nodes times edges stay below ``LOCAL_WORK``.
+Beyond these bounds the same measures run as iterative joins whose state is kept
+in the shared checkpoint folder, so they survive the loss of executors;
+betweenness takes its sources in blocks, so that no state holds all pairs of
+nodes. All ways give the same values; tests compare them. Exact betweenness is
+work of nodes times edges whatever the way; ``sampled_betweenness`` estimates it
+from a number of sources.
 
 Empty graphs give empty results; isolated nodes cannot occur, nodes come from edges.
 """
@@ -20,7 +24,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.runtime import materialize
 
-LOCAL_EDGES = 2_000_000
+LOCAL_EDGES = 500_000
+#: nodes times edges up to which betweenness is worked out by array code
+LOCAL_WORK = 100_000_000_000
+#: rows (source, node) that one block of sources may need
+STATE_ROWS = 1_000_000_000
 ALPHA, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 100
 
 
@@ -281,12 +289,9 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOLERANCE, rou
     raise ArithmeticError(f"PageRank did not converge in {rounds} rounds")
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """``node, betweenness``: Brandes' algorithm as level-synchronous joins keyed by (source, node)."""
-    links = materialize(edges.select("src", "dst").distinct())
-    nodes = materialize(node_list(edges))
-    n = nodes.count()
-    seen = materialize(nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+def _dependency_sums(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``v, delta``: dependencies on every node summed over ``sources``, level by level, keyed by (source, node)."""
+    seen = materialize(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     front, depth = seen, 0
     while True:
         step = front.join(links, front.v == links.src).select("s", F.col("dst").alias("v"), "sigma")
@@ -305,11 +310,32 @@ def betweenness(edges: DataFrame) -> DataFrame:
         delta = materialize(part.groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
         if d > 0:
             total = total.unionByName(delta.select("v", "delta"))
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return total.groupBy("v").agg(F.sum("delta").alias("delta"))
+
+
+def betweenness(edges: DataFrame, state_rows: int | None = None, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """``node, betweenness``: Brandes' algorithm as joins over blocks of sources, or over ``sample`` sources chosen by a hash of the node."""
+    links = materialize(edges.select("src", "dst").distinct())
+    nodes = materialize(node_list(edges))
+    n = nodes.count()
+    place = F.xxhash64(F.lit(seed), "node")
+    sources = materialize((nodes if sample is None else nodes.orderBy(place, "node").limit(sample)).select("node", place.alias("h")))
+    m = sources.count()
+    blocks = max(1, -(-m * n // (state_rows or STATE_ROWS)))
+    parts = [materialize(_dependency_sums(links, sources.where(F.pmod("h", F.lit(blocks)) == b))) for b in range(blocks)]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / m if m else 1.0)
     sums = total.groupBy(F.col("v").alias("node")).agg((F.sum("delta") * scale).alias("betweenness"))
     return nodes.join(sums, "node", "left").fillna(0.0, ["betweenness"])
 
 
+def sampled_betweenness(edges: DataFrame, sources: int, seed: int = 42) -> DataFrame:
+    """Estimate of betweenness from the shortest paths of ``sources`` nodes; unbiased, with an error that falls as their root."""
+    return betweenness(edges, sample=sources, seed=seed)
+
+
 # ---- assembled results -------------------------------------------------------------------------
 
 
@@ -325,7 +351,8 @@ def measures(edges: DataFrame) -> DataFrame:
 
 
 def any_betweenness(edges: DataFrame) -> DataFrame:
-    return local_betweenness(edges) if is_local(edges) else betweenness(edges)
+    m = edges.count()
+    return local_betweenness(edges) if m <= LOCAL_EDGES and node_list(edges).count() * m <= LOCAL_WORK else betweenness(edges)
 
 
 def node_metrics(edges: DataFrame, types: DataFrame) -> DataFrame:

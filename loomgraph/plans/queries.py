@@ -248,6 +248,17 @@ def q_betweenness(spark, d):
     return graph.any_betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
 
 
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_between_sql()} SELECT node, round(betweenness, 12) AS betweenness FROM bt")
+def q_betweenness_joins(spark, d):
+    """The same by iterative joins, as for graphs beyond the bound of the array code."""
+    return graph.betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_ranks_sql()} SELECT node, round(pagerank, 10) AS pagerank FROM pr")
+def q_pagerank_joins(spark, d):
+    return graph.pagerank(_edges(spark, d)).select("node", F.round("pagerank", 10).alias("pagerank"))
+
+
 def _metrics(spark, d):
     """Node metrics; centralities are rounded before anything is ordered, so that ties do not hang on the order of sums."""
     rows = graph.node_metrics(materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False))

@@ -33,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where none is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"loomgraph-{os.getpid()}-"))
 
 

@@ -83,6 +83,9 @@ def test_joins_equal_arrays_equal_brute_force(spark):
     want = brute_betweenness(nodes, {n: [b for a, b in pairs if a == n] for n in nodes})
     assert {r.node: r.betweenness for r in graph.local_betweenness(e).collect()} == pytest.approx(want)
     assert {r.node: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(want)
+    n = len(want)
+    assert {r.node: r.betweenness for r in graph.betweenness(e, state_rows=n * n // 3).collect()} == pytest.approx(want)  # blocks of sources
+    assert {r.node: r.betweenness for r in graph.sampled_betweenness(e, n).collect()} == pytest.approx(want)  # all of them
 
 
 def test_empty_graph(spark):
