@@ -307,6 +307,19 @@ def q_graph_summary(spark, d):
     return _summary(spark, d).withColumn("density", F.round("density", 12))
 
 
+def _report_sql() -> str:
+    parts = ["SELECT 0 AS no, 'Input: triples' || chr(10) || 'Graph: ' || (SELECT count(*) FROM nd) || ' nodes, ' || (SELECT count(*) FROM e) || ' unique directed edges' || chr(10) || 'Output: report' AS line"]
+    for at, (label, key) in enumerate((("Degree", "degree"), ("Betweenness", "betweenness"), ("PageRank", "pagerank")), 1):
+        parts.append(f"SELECT {1000 * at}, chr(10) || 'Top 20 by {label}:'")
+        parts.append(f"SELECT {1000 * at} + rank, format('{{{{:>2d}}}}. {{{{}}}} | type={{{{}}}} | degree={{{{}}}} | betweenness={{{{:.6f}}}} | pagerank={{{{:.6f}}}}', rank, node, entity_type, degree, betweenness, pagerank) FROM ({_top_sql(key, 10)})".replace("{{", "{").replace("}}", "}"))
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH RECURSIVE {_METRICS_SQL} " + _report_sql())
+def q_console_report(spark, d):
+    return reporting.console_report(_metrics(spark, d), _summary(spark, d), "triples", "report")
+
+
 @query()
 def q_summary_document(spark, d):
     return graph.summary_document(_summary(spark, d), _metrics(spark, d))
@@ -360,14 +373,18 @@ def q_metadata(spark, d):
     return meta.withColumns({c: F.array_join(c, "|") for c in ("relation_types", "entity_types")})
 
 
-@query(f"WITH {_TYPED}, m AS (SELECT max(degree) AS most FROM td) SELECT node, entity_type, degree, round(10 + 40 * degree / most, 6) AS size FROM td, m")
+def _coloured(x: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+@query(f"WITH {_TYPED}, m AS (SELECT max(degree) AS most FROM td) SELECT node, entity_type, degree, {_coloured('entity_type', rules.TYPE_COLOURS, '#CCCCCC')} AS colour, round(10 + 40 * degree / most, 6) AS size FROM td, m")
 def q_styled_nodes(spark, d):
-    return reporting.styled_nodes(_typed_degrees(spark, d)).drop("colour")
+    return reporting.styled_nodes(_typed_degrees(spark, d))
 
 
-@query(f"WITH {_FINAL} SELECT subject AS src, obj AS dst, relation, frequency, round(greatest(1.0, ln(1 + frequency)), 6) AS width FROM f")
+@query(f"WITH {_FINAL} SELECT subject AS src, obj AS dst, relation, frequency, {_coloured('relation', rules.RELATION_COLOURS, '#888888')} AS colour, round(greatest(1.0, ln(1 + frequency)), 6) AS width FROM f")
 def q_styled_edges(spark, d):
-    return reporting.styled_edges(_multi(spark, d)).drop("colour")
+    return reporting.styled_edges(_multi(spark, d))
 
 
 @query()
