@@ -206,3 +206,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks}
+#: every SPAN words in a row of either side, compared as text
+ORACLES = {
+    "p8_found": rf"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\p{{L}}\p{{N}}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\p{{L}}\p{{N}}]+') FROM eval_items),
+s AS (SELECT DISTINCT side, id, array_to_string(ws[k : k + {SPAN - 1}], ' ') AS span FROM (SELECT side, id, ws, unnest(range(1, greatest(1, len(ws) - {SPAN - 2}))) AS k FROM w WHERE len(ws) >= {SPAN}))
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM s a JOIN s b USING (span) WHERE a.side = 'd' AND b.side = 'i'"""
+}

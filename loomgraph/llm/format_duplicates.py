@@ -122,4 +122,23 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read_records(spark, sf_dir))[1].select("kept_id", "copies")
 
 
+def _canonical_sql(x: str) -> str:
+    """Character by character: letters and digits in lower case, and a mark between two digits."""
+    return rf"""lower(array_to_string(list_transform(string_split({x}, ''), lambda c, i: CASE WHEN regexp_matches(c, '[\p{{L}}\p{{N}}]') THEN c WHEN regexp_matches(c, '[\s\p{{Z}}]') THEN ''
+      WHEN regexp_matches(coalesce(string_split({x}, '')[i - 1], ''), '\p{{Nd}}') AND i > 1 AND regexp_matches(coalesce(string_split({x}, '')[i + 1], ''), '\p{{Nd}}') THEN c ELSE '' END), ''))"""
+
+
+_KEYED_SQL = rf"""
+WITH j AS (SELECT triple_id, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM triple_lines),
+r AS (SELECT triple_id, subject, relation, obj, source_id FROM triples UNION ALL
+  SELECT triple_id, json_extract_string(j, '$.subject'), json_extract_string(j, '$.relation'), coalesce(json_extract_string(j, '$.obj'), json_extract_string(j, '$.object')), TRY_CAST(json_extract_string(j, '$.source_id') AS BIGINT) FROM j WHERE j IS NOT NULL),
+c AS (SELECT triple_id, relation, source_id, {_canonical_sql("subject")} AS a, {_canonical_sql("obj")} AS b FROM r
+  WHERE regexp_matches(subject, '[^\s\p{{Z}}]') AND regexp_matches(obj, '[^\s\p{{Z}}]') AND regexp_matches(relation, '[^\s\p{{Z}}]')),
+k AS (SELECT triple_id, relation, source_id, CASE WHEN relation IN ('{"', '".join(UNDIRECTED)}') AND a > b THEN b ELSE a END AS a, CASE WHEN relation IN ('{"', '".join(UNDIRECTED)}') AND a > b THEN a ELSE b END AS b FROM c),
+g AS (SELECT *, min(triple_id) OVER w AS kept_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY relation, source_id, a, b))
+"""
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+ORACLES = {
+    "p1_found": _KEYED_SQL + "SELECT kept_id, triple_id AS copy_id FROM g WHERE triple_id <> kept_id",
+    "p1_groups": _KEYED_SQL + "SELECT DISTINCT kept_id, copies FROM g WHERE copies > 1",
+}

@@ -29,7 +29,7 @@ from loomgraph.plans.runtime import materialize, table
 
 RANGE = 4096
 #: terms up to which the dictionary is broadcast (about 60 bytes each)
-BROADCAST_TERMS = 500_000
+BROADCAST_TERMS = 250_000
 RARE_ROWS = 2
 COMMON_SHARE = 0.08
 FIELDS = ("subject", "relation", "obj")
