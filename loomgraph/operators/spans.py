@@ -74,6 +74,25 @@ def dictionary_entries(table: DataFrame) -> list[tuple[str, str, str, bool]]:
     return [(r.orig_name.lower(), r.orig_name, r.etype, bool(r.case_sensitive)) for r in rows]
 
 
+def settle(text: str, hits: Iterable[tuple[int, str, str, bool, int]], window: int = 50) -> list[tuple[int, int, str]]:
+    """Spans of the hits ``(start, name, etype, case_sensitive, rank)`` that are there as whole words in the case and context asked for: the longest first, none overlapping."""
+    low, found = text.lower(), []
+    for start, name, etype, exact, rank in hits:
+        end, small = start + len(name), name.lower()
+        if start < 0 or low[start:end] != small or (start and low[start - 1].isalnum()) or (end < len(low) and low[end].isalnum()):
+            continue
+        if (exact and text[start:end] != name) or (etype == "INDUSTRY" and small in rules.INDUSTRY_NEEDS_CONTEXT and not has_context(low, start, window)):
+            continue
+        found.append((start, end, etype, rank))
+    found.sort(key=lambda s: (s[0] - s[1], s[0], s[3]))
+    taken: list[tuple[int, int, str]] = []  # in order of place, apart from one another
+    for start, end, etype, _ in found:
+        k = bisect_left(taken, (start, end, etype))
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+            taken.insert(k, (start, end, etype))
+    return taken
+
+
 class Matcher:
     """Dictionary matcher: an automaton if the library is there, else a scan; the results are the same."""
 
@@ -114,25 +133,8 @@ class Matcher:
     def __call__(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text or not text.strip():
             return []
-        low, found = text.lower(), []
-        for start, name in self._hits(low):
-            end = start + len(name)
-            if (start and low[start - 1].isalnum()) or (end < len(low) and low[end].isalnum()):
-                continue
-            for i in self.by_name[name]:
-                _, orig, etype, exact = self.entries[i]
-                if exact and text[start:end] != orig:
-                    continue
-                if etype == "INDUSTRY" and name in rules.INDUSTRY_NEEDS_CONTEXT and not has_context(low, start, self.window):
-                    continue
-                found.append((start, end, etype, i))
-        found.sort(key=lambda s: (s[0] - s[1], s[0], s[3]))
-        taken: list[tuple[int, int, str]] = []  # in order of place, apart from one another
-        for start, end, etype, _ in found:
-            k = bisect_left(taken, (start, end, etype))
-            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
-                taken.insert(k, (start, end, etype))
-        return taken
+        hits = ((start, *self.entries[i][1:], i) for start, name in self._hits(text.lower()) for i in self.by_name[name])
+        return settle(text, hits, self.window)
 
     def __getstate__(self):
         return {"entries": self.entries, "window": self.window, "by_name": self.by_name, "automaton": None}
@@ -163,6 +165,46 @@ def dictionary_spans(text: Column, entries: list[tuple[str, str, str, bool]]) ->
     return match(text)
 
 
+_WORD = re.compile(r"[^\W_]+")
+_PLACED = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("at", T.IntegerType())]))
+
+
+@F.pandas_udf(_PLACED)
+def _words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [(m[0], m.start()) for m in _WORD.finditer((t or "").lower())])
+
+
+_HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("etype", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("rank", T.LongType())]))
+
+
+@F.pandas_udf(SPANS)
+def _settled(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    priority = rules.PRIORITY["gazetteer"]
+    one = lambda t, hs: [] if hs is None or not t else [(a, b, e, priority, 1.0) for a, b, e in settle(t, ((h["start"], h["name"], h["etype"], h["exact"], h["rank"]) for h in hs))]
+    return pd.Series([one(t, hs) for t, hs in zip(texts, hits, strict=True)])
+
+
+def joined_dictionary_spans(df: DataFrame, key: str, text: str, dictionary: DataFrame, out: str = "spans") -> DataFrame:
+    """``df`` with the dictionary spans of ``text``, for dictionaries of any size: the join form of :func:`dictionary_spans`.
+
+    Every name is looked up under the one of its words that the fewest names have.
+    A whole-word hit holds that word as a word of the text, so an equi-join of
+    words finds all hits; each is checked in its text as in the other form.
+    ``key`` is unique; names without a letter or digit can't stand as words and give nothing.
+    """
+    order = F.create_map(*[F.lit(v) for i, t in enumerate(rules.DICTIONARY_ORDER) for v in (t, i)])
+    names = dictionary.where("length(trim(orig_name)) > 0").select("entry_id", F.col("orig_name").alias("name"), "etype", F.coalesce("case_sensitive", F.lit(False)).alias("exact"))
+    placed = names.select("*", F.explode(_words("name")).alias("w")).select("*", "w.word", F.col("w.at").alias("offset")).drop("w")
+    held = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = placed.join(held, "word").groupBy("entry_id", "name", "etype", "exact").agg(F.min(F.struct("n", "offset", "word")).alias("w"))
+    rank = F.coalesce(F.try_element_at(order, F.col("etype")), F.lit(9)).cast("bigint") * F.lit(1 << 40) + F.col("entry_id")  # of equal length and place, types in their order, then ids
+    looked = rarest.select(F.col("w.word").alias("word"), F.col("w.offset").alias("offset"), "name", "etype", "exact", rank.alias("rank"))
+    words = df.select(key, F.explode(_words(text)).alias("w")).select(key, "w.word", "w.at")
+    hits = words.join(looked, "word").select(key, F.struct((F.col("at") - F.col("offset")).alias("start"), "name", "etype", "exact", "rank").alias("h"))
+    hits = hits.groupBy(key).agg(F.collect_list("h").alias("_hits"))  # bounded by one text and the names that stand in it
+    return df.join(hits, key, "left").withColumn(out, F.coalesce(_settled(text, "_hits"), _empty())).drop("_hits")
+
+
 def model_spans(text: Column, entities: Column, least: float = 0.70) -> Column:
     """Spans of model entities (text, etype, score): labels mapped, low scores and MISCELLANEOUS dropped, placed at first occurrence."""
     from loomgraph.functions.text import lookup

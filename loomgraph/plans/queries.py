@@ -531,6 +531,12 @@ def q_gazetteer_spans(spark, d):
     return _rows_of(_texts(spark, d).select("rec_id", spans.dictionary_spans(F.col("text"), _entries(spark, d)).alias("spans")), "spans")
 
 
+@query(f"WITH {sq.TEXTS},{sq.DICTIONARY} SELECT rec_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", etype FROM dict")
+def q_gazetteer_spans_join(spark, d):
+    """The same by a join, as for dictionaries beyond the bound of the automaton."""
+    return _rows_of(spans.joined_dictionary_spans(_texts(spark, d).select("rec_id", "text"), "rec_id", "text", table(spark, d, "gazetteer")), "spans")
+
+
 @query(
     f"""WITH {sq.TEXTS}, terms AS (SELECT unnest([{sq.listed(rules.INDUSTRY_NEEDS_CONTEXT)}]) AS term),
 h AS (SELECT rec_id, lower(text) AS low, term, string_split(lower(text), term) AS parts FROM t JOIN terms ON contains(lower(text), term)),

@@ -156,3 +156,23 @@ def test_training(spark):
 def test_align(spark):
     df = spark.createDataFrame([(["ab", "abcdef"], [5, 7])], "w array<string>, t array<int>").withColumn("ids", training.word_ids(F.col("w"), lambda x: (len(x) + 2) // 3, 8))
     assert df.select(training.align_labels(F.col("ids"), F.col("t"))).first()[0] == [-100, 5, 7, -100, -100]
+
+
+def test_dictionary_join_equals_the_automaton(spark):
+    names = ["HR Asia", "HR Asia Awards 2025", "công nghệ", "AirPods", "iPhone 17", "FPT", "«Sao»", "C++", "…", "TP.HCM", "a b a", "du lịch"]
+    rows = [(i, n, ("INDUSTRY" if n in ("công nghệ", "du lịch") else "EVENT"), n not in ("công nghệ", "du lịch")) for i, n in enumerate(names)]
+    gazetteer = spark.createDataFrame(rows, "entry_id long, orig_name string, etype string, case_sensitive boolean")
+    texts = ["Apple ra mắt iPhone 17 tại HR Asia Awards 2025, ngành công nghệ rất sôi động.", "AirPods, C++ và «Sao» ở TP.HCM; fpt FPTX FPT", "a b a b a", "…", "", None, "lĩnh vực du lịch du lịch", "công nghệ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    matcher = spans.Matcher(spans.dictionary_entries(gazetteer))
+    got = {r.id: [(s.start, s.end, s.etype) for s in r.spans] for r in spans.joined_dictionary_spans(df, "id", "t", gazetteer).collect()}
+    assert got == {i: [m for m in matcher(t) if t[m[0] : m[1]] != "…"] for i, t in enumerate(texts)} and sum(map(len, got.values())) == 11
+
+
+def test_sample_per_group(spark):
+    from loomgraph.operators import reporting
+
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g")).repartition(5)
+    got = [(r.g, r.id) for r in reporting.sample_per_group(df, "g", "id", 4).collect()]
+    assert sorted((g or "") for g, _ in got) == [""] * 4 + ["1"] * 4 + ["2"] * 4
+    assert set(got) == {(r.g, r.id) for r in reporting.sample_per_group(df.coalesce(1), "g", "id", 4).collect()}
