@@ -11,15 +11,16 @@ frequent token has few keys.
 
 Names are joined on these keys by a second prefix filter, over tokens: rare
 tokens weigh more, and two names can reach ``ENOUGH`` only if so many of the
-heaviest tokens agree that at least one, two or three of a prefix of them must
-be met at once. Keys are therefore single tokens, pairs or triples of them, the
-most that the weights allow, and a family name that a third of all names bear
-is no key by itself. What meets is verified by a weighted soft token similarity
-with the tokens aligned; tokens of only one name count against it with their
-weight. A pair must also agree in class, legal form and branch. Verified links
-are closed to components, since two damaged spellings may be linked only through
-the sound one; the components are found by label propagation over tables kept in
-the shared checkpoint folder.
+heaviest tokens agree that at least one to four of a prefix of them must be met
+at once. Keys are therefore of one to four tokens, the most that the weights
+allow, and a family name that a third of all names bear is no key by itself.
+Where the other name has initials, as many of the tokens may be met by their
+first letters. What meets is verified by a weighted soft token similarity with
+the tokens aligned; tokens of only one name count against it with their weight.
+A pair must also agree in class, legal form and branch. Verified links are
+closed to components, since two damaged spellings may be linked only through the
+sound one; the components are found by label propagation over tables kept in the
+shared checkpoint folder.
 
 Defined results: null or blank names, names of products, events and places, and
 names of initials only give no pair; a name of unknown type joins persons or
@@ -51,8 +52,8 @@ LONG = 8
 SHORT = 5
 #: letters a name of one token needs for an edit
 ALONE = 6
-#: most tokens met at once, and words of a name up to which three of them are keys
-TOGETHER, FEW_WORDS = 3, 5
+#: most tokens met at once in names of up to FEW_WORDS words, and in longer ones, which have more combinations
+TOGETHER, TOGETHER_LONG, FEW_WORDS = 4, 2, 5
 #: rows of one key that one task joins, before the key is split
 KEY_ROWS = 4096
 #: distinct tokens up to which their keys are broadcast (about 100 bytes each)
@@ -190,35 +191,50 @@ def kind_of(flat: list[str]) -> int:
     return min(3, len(flat) - words) + (4 if words > FEW_WORDS else 0)
 
 
+def _letters(token: str) -> list[int]:
+    """Elements by which a token is met by an initial."""
+    return sorted({ord(f[0]) for f in (token, *_formal.get(token, ()))})
+
+
+def _combined(base: int, tokens: list[tuple[list[int], list[int]]], size: int, initials: int) -> Iterator[int]:
+    """Keys of ``size`` of the ``tokens`` (elements, letters): up to ``initials`` of them met by a letter, one at least by an element."""
+    for some in itertools.combinations(tokens, size):
+        for n in range(min(initials, size - 1) + 1):
+            for short in itertools.combinations(range(size), n):
+                choice = [t[1] if i in short else t[0] for i, t in enumerate(some)]
+                for parts in itertools.product(*choice):
+                    yield _mix(base | size, parts)
+
+
 def name_keys(cls: str, branch: str, flat: list[str], w: list[float], elements: list[list[int]], kinds: list[int]) -> tuple[set[int], set[int]]:
     """Keys under which a name is found, and keys by which it looks for names of each of ``kinds`` with as many initials or more."""
     found: set[int] = set()
     looks: set[int] = set()
     own = kind_of(flat)
     words = sorted((i for i in range(len(flat)) if len(flat[i]) > 1), key=lambda i: (-w[i], i))
-    initials = sum(w) - sum(w[i] for i in words)
     heavy = [w[i] for i in words]
+    rest = sum(w) - sum(heavy)
+    tokens = [(elements[i], _letters(flat[i])) for i in words]
+    letters = [[ord(t)] for t in flat if len(t) == 1]
+    cap = lambda kind: TOGETHER_LONG if kind & 4 else TOGETHER
     for mode in {"P": (1,), "O": (2,), "U": (1, 2)}[cls]:
-        base = zlib.crc32(branch.encode()) << 8 | mode << 6
-
-        def keys(among: list[int], size: int, kind: int, base: int = base) -> Iterator[int]:
-            for some in itertools.combinations(among, size):
-                for parts in itertools.product(*(elements[i] for i in some)):
-                    yield _mix(base | kind << 2 | size, parts)
-
-        for size in range(1, TOGETHER if own & 4 else TOGETHER + 1):
-            found.update(keys(words, size, own))
+        base = zlib.crc32(branch.encode()) << 8 | mode << 6  # below it the kind of the one that is found, and the number of tokens
+        for size in range(1, cap(own) + 1):
+            for n in range(min(len(letters), size - 1) + 1 if own & 3 < 3 else 1):
+                for short in itertools.combinations(letters, n):
+                    for some in itertools.combinations(tokens, size - n):
+                        found.update(_mix(base | own << 3 | size, parts) for parts in itertools.product(*short, *(t[0] for t in some)))
         for kind in kinds:
             more = kind & 3
             if more < own & 3:
                 continue
-            among, size = words, 1
-            for together in range(TOGETHER - 1 if kind & 4 else TOGETHER, 0, -1):
-                most = prefix([*heavy, initials], together + more) if more < 3 else None
-                if most is not None and most <= len(words):
-                    among, size = words[:most], together
+            among, size, initials = tokens, 1, 0
+            for together in range(cap(kind), more, -1) if more < 3 else ():
+                most = prefix([*heavy, rest], together)
+                if most is not None and most <= len(tokens):
+                    among, size, initials = tokens[:most], together, more
                     break
-            looks.update(keys(among, size, kind))
+            looks.update(_combined(base | kind << 3, among, size, initials))
     return found, looks
 
 
@@ -267,7 +283,8 @@ def token_similarity(a: str, b: str, fa: str, fb: str) -> float:
     if fa == fb:
         return 0.95
     if len(fa) == 1 or len(fb) == 1:
-        return 0.9 if fa[0] == fb[0] or any(f[0] == (fa + fb)[0] for f in _formal.get(max(fa, fb, key=len), ())) else 0.0
+        short, full = sorted((fa, fb), key=len)
+        return 0.9 if any(f[0] == short for f in (full, *_formal.get(full, ()))) else 0.0
     if (_formal.get(fa, {fa}) | {fa}) & (_formal.get(fb, {fb}) | {fb}):
         return 0.95
     if min(len(fa), len(fb)) >= LONG:

@@ -65,3 +65,8 @@ def test_short_names_are_linked(spark):
 
 def test_initials_alone_are_no_evidence():
     assert nv.name_similarity(["john", "s"], ["john", "s"], [1.0] * 2, ["j", "smith"], ["j", "smith"], [1.0] * 2, True) == 0.0
+
+
+def test_an_initial_stands_for_names_with_its_letter_only():
+    same = lambda a, b: nv.token_similarity(a, b, a, b)
+    assert same("ron", "x") == same("x", "ron") == 0.0 and same("ron", "r") == same("r", "bob") == same("bob", "r") == same("b", "bob") == 0.9 and same("robert", "b") == 0.0
