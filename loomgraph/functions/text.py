@@ -55,12 +55,23 @@ def lookup(key: Column, table: dict[str, str], default: Column) -> Column:
 
 def normalize_entity(text: Column, aliases: dict[str, str] = rules.ALIASES, low: int = 2, high: int = 80, compose: bool = True) -> Column:
     """Canonical surface of an entity, '' for noise: blank, too short or long, only digits and marks."""
-    base = squeeze(strip(nfc(text) if compose else text))
-    base = F.regexp_replace(base, "^[.,;:!?\"']+|[.,;:!?\"']+$", "")
+    blank = text.isNull() | ~text.rlike(r"(?U)\S")
+    return F.when(blank, "").otherwise(_entity_name(_entity_base(nfc(text) if compose else text), aliases, low, high))
+
+
+def _entity_base(text: Column) -> Column:
+    return F.regexp_replace(squeeze(strip(text)), "^[.,;:!?\"']+|[.,;:!?\"']+$", "")
+
+
+def _entity_name(base: Column, aliases: dict[str, str] = rules.ALIASES, low: int = 2, high: int = 80) -> Column:
     noise = (F.length(base) < low) | (F.length(base) > high) | base.rlike(r"(?U)^[\d\s.,;:\-/]+$")
     alias = lookup(F.lower(base), aliases, F.lit(None).cast("string"))
-    blank = text.isNull() | ~text.rlike(r"(?U)\S")
-    return F.when(blank, "").when(alias.isNotNull(), alias).when(noise, "").otherwise(base)
+    return F.when(alias.isNotNull(), alias).when(noise, "").otherwise(base)
+
+
+def entity_name(text: Column) -> Column:
+    """:func:`normalize_entity` of composed text for use inside array functions, where nothing is shared: the base is worked out once."""
+    return F.coalesce(F.element_at(F.transform(F.array(_entity_base(text)), lambda b: _entity_name(b)), 1), F.lit(""))
 
 
 def canonicalize(surface: Column, table: dict[str, str] = rules.CANONICAL) -> Column:
@@ -94,7 +105,11 @@ def token_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of the white-space token sets, case ignored; 0 if either is empty."""
-    x, y = token_set(a), token_set(b)
+    return bag_jaccard(token_set(a), token_set(b))
+
+
+def bag_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two token sets."""
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(
         F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
     )
