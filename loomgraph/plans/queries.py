@@ -245,7 +245,7 @@ def q_pagerank(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_between_sql()} SELECT node, round(betweenness, 12) AS betweenness FROM bt")
 def q_betweenness(spark, d):
-    return graph.any_betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
+    return graph.any_betweenness(materialize(_edges(spark, d))).select("node", F.round("betweenness", 12).alias("betweenness"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_between_sql()} SELECT node, round(betweenness, 12) AS betweenness FROM bt")

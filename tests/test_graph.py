@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, triples
+from loomgraph.operators import graph, paths, triples
 
 SCHEMA = "triple_id long, subject string, subject_type string, relation string, obj string, obj_type string, weight string, confidence double, frequency string, source_id long"
 
@@ -44,7 +45,7 @@ def test_small_measures(small):
     assert (s.nodes, s.edges_unique, s.density, s.weakly_connected_components, s.strongly_connected_components) == (5, 4, 0.2, 2, 3)
 
 
-def brute_betweenness(nodes, adj):
+def brute_betweenness(nodes, adj, scale=None):
     score = dict.fromkeys(nodes, 0.0)
     for s in nodes:
         dist, sigma, order, queue = {s: 0}, {s: 1.0}, [], [s]
@@ -66,7 +67,7 @@ def brute_betweenness(nodes, adj):
             if w != s:
                 score[w] += delta[w]
     n = len(nodes)
-    return {v: x / ((n - 1) * (n - 2)) for v, x in score.items()}
+    return {v: x * (scale or 1 / ((n - 1) * (n - 2))) for v, x in score.items()}
 
 
 def test_joins_equal_arrays_equal_brute_force(spark):
@@ -88,6 +89,36 @@ def test_joins_equal_arrays_equal_brute_force(spark):
     assert {r.node: r.betweenness for r in graph.sampled_betweenness(e, n).collect()} == pytest.approx(want)  # all of them
 
 
+def hub_edges(spark, n):
+    """``n`` sources, a hub, ``n`` targets: only the hub is inside paths, of all n * n of them."""
+    ends = spark.range(n)
+    return ends.select(F.format_string("s%07d", "id").alias("src"), F.lit("hub").alias("dst"), F.lit(1.0).alias("weight")).union(
+        ends.select(F.lit("hub"), F.format_string("t%07d", "id"), F.lit(1.0))
+    )
+
+
+def test_betweenness_of_many_nodes_keeps_no_pairs(spark, monkeypatch):
+    n = 260_000
+    monkeypatch.setattr(graph, "_dependency_sums", None)  # 6.8e10 rows
+    best = graph.any_betweenness(hub_edges(spark, n)).where("betweenness > 0").collect()
+    assert [(r.node, r.betweenness) for r in best] == [("hub", pytest.approx(n * n / (2 * n * (2 * n - 1))))]
+
+
+def test_reduced_paths_equal_brute_force():
+    rng = random.Random(3)
+    for trial in range(150):
+        n, few = rng.randint(1, 24), trial % 2 * 3000
+        s, t = [[int(rng.triangular(0, n, low)) for _ in range(rng.randint(0, 3 * n))] for low in (0, n)]
+        m = min(len(s), len(t))
+        g = paths.PathGraph(np.array(s[:m], np.int64), np.array(t[:m], np.int64), n)
+        got = np.zeros(n)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(paths, "FEW", few)
+            got[g.inner] = g.dependencies(g.runs)
+        want = brute_betweenness(range(n), {v: sorted({b for a, b in zip(s, t) if a == v != b}) for v in range(n)}, 1) if n else {}
+        assert list(got) == pytest.approx([want[v] for v in range(n)])
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], "src string, dst string, weight double")
     assert graph.degrees(e).count() == 0 and graph.local_measures(e).count() == 0 and graph.weak_components(e).count() == 0 and graph.pagerank(e).count() == 0
