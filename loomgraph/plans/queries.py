@@ -250,7 +250,7 @@ def q_betweenness(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_NODES},{_between_sql()} SELECT node, round(betweenness, 12) AS betweenness FROM bt")
 def q_betweenness_joins(spark, d):
-    """The same by iterative joins, as for graphs beyond the bound of the array code."""
+    """The same by iterative joins, as for graphs beyond the bound of the array code; the joins leave a state of too many pairs to it."""
     return graph.betweenness(_edges(spark, d)).select("node", F.round("betweenness", 12).alias("betweenness"))
 
 

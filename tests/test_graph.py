@@ -104,6 +104,15 @@ def test_betweenness_of_many_nodes_keeps_no_pairs(spark, monkeypatch):
     assert [(r.node, r.betweenness) for r in best] == [("hub", pytest.approx(n * n / (2 * n * (2 * n - 1))))]
 
 
+def test_betweenness_by_joins_builds_no_large_state(spark, monkeypatch):
+    e = hub_edges(spark, 8)
+    want = {r.node: r.betweenness for r in graph.betweenness(e).collect()}
+    assert want["hub"] == pytest.approx(64 / (16 * 15))
+    monkeypatch.setattr(graph, "_dependency_sums", None)
+    monkeypatch.setattr(graph, "JOIN_PAIRS", 17 * 17 - 1, raising=False)
+    assert {r.node: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(want)
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
