@@ -259,9 +259,9 @@ def q_pagerank_joins(spark, d):
     return graph.pagerank(_edges(spark, d)).select("node", F.round("pagerank", 10).alias("pagerank"))
 
 
-def _metrics(spark, d):
+def _metrics(spark, d, edges=None):
     """Node metrics; centralities are rounded before anything is ordered, so that ties do not hang on the order of sums."""
-    rows = graph.node_metrics(materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False))
+    rows = graph.node_metrics(edges or materialize(_edges(spark, d)), triples.node_types(_clean(spark, d), upgrade=False))
     return materialize(rows.withColumns({"betweenness": F.round("betweenness", 12), "pagerank": F.round("pagerank", 10)}))
 
 
@@ -285,10 +285,10 @@ def q_top_pagerank(spark, d):
     return graph.top(_metrics(spark, d), "pagerank").drop("ord")
 
 
-def _summary(spark, d):
-    edges = materialize(_edges(spark, d))
+def _summary(spark, d, edges=None):
+    edges = edges or materialize(_edges(spark, d))
     kinds = _clean(spark, d).agg(F.count_distinct("relation")).first()[0]
-    return graph.summary(edges, graph.measures(edges), kinds)
+    return graph.summary(edges, materialize(graph.measures(edges)), kinds)
 
 
 @query(
@@ -317,12 +317,14 @@ def _report_sql() -> str:
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} " + _report_sql())
 def q_console_report(spark, d):
-    return reporting.console_report(_metrics(spark, d), _summary(spark, d), "triples", "report")
+    edges = materialize(_edges(spark, d))
+    return reporting.console_report(_metrics(spark, d, edges), _summary(spark, d, edges), "triples", "report")
 
 
 @query()
 def q_summary_document(spark, d):
-    return graph.summary_document(_summary(spark, d), _metrics(spark, d))
+    edges = materialize(_edges(spark, d))
+    return graph.summary_document(_summary(spark, d, edges), _metrics(spark, d, edges))
 
 
 @query(f"WITH {_VALID} SELECT triple_id, subject, relation, obj, confidence FROM v")

@@ -113,6 +113,25 @@ def test_betweenness_by_joins_builds_no_large_state(spark, monkeypatch):
     assert {r.node: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(want)
 
 
+@pytest.fixture(scope="module")
+def hub_metrics(spark):
+    n = 260_000  # above the half million edges that were the bound of the array code
+    edges = hub_edges(spark, n).localCheckpoint()
+    types = graph.node_list(edges).select("node", F.lit("T").alias("entity_type"), F.xxhash64("node").alias("ord"))
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_dependency_sums", "weak_components", "strong_components", "pagerank"):
+            patch.setattr(graph, name, None)
+        return edges, graph.node_metrics(edges, types).localCheckpoint(), graph.measures(edges).localCheckpoint()
+
+
+def test_node_metrics_without_joins_of_pairs(hub_metrics):
+    edges, metrics, _ = hub_metrics
+    n = edges.count() // 2
+    hub = metrics.where("node = 'hub'").first()
+    assert metrics.count() == 2 * n + 1 and (hub.in_degree, hub.out_degree, hub.degree) == (n, n, 2 * n)
+    assert hub.betweenness == pytest.approx(n / (2 * (2 * n - 1))) and metrics.agg(F.sum("pagerank")).first()[0] == pytest.approx(1)
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
