@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 
 import numpy as np
@@ -132,6 +133,14 @@ def test_node_metrics_without_joins_of_pairs(hub_metrics):
     assert hub.betweenness == pytest.approx(n / (2 * (2 * n - 1))) and metrics.agg(F.sum("pagerank")).first()[0] == pytest.approx(1)
 
 
+def test_summary_document_of_many_nodes(hub_metrics):
+    edges, metrics, parts = hub_metrics
+    got = json.loads(graph.summary_document(graph.summary(edges, parts, 1), metrics).first().document)
+    n = edges.count()
+    assert (got["graph"]["nodes"], got["graph"]["edges_unique"], got["graph"]["weakly_connected_components"], got["graph"]["strongly_connected_components"]) == (n + 1, n, 1, n + 1)
+    assert all(len(got[f"top_by_{k}"]) == 20 and got[f"top_by_{k}"][0]["node"] == "hub" for k in ("degree", "betweenness", "pagerank"))
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
