@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, paths, triples
+from loomgraph.operators import graph, paths, reporting, triples
 
 SCHEMA = "triple_id long, subject string, subject_type string, relation string, obj string, obj_type string, weight string, confidence double, frequency string, source_id long"
 
@@ -141,6 +141,12 @@ def test_summary_document_of_many_nodes(hub_metrics):
     assert all(len(got[f"top_by_{k}"]) == 20 and got[f"top_by_{k}"][0]["node"] == "hub" for k in ("degree", "betweenness", "pagerank"))
 
 
+def test_console_report_of_many_nodes(hub_metrics):
+    edges, metrics, parts = hub_metrics
+    lines = [r.line for r in reporting.console_report(metrics, graph.summary(edges, parts, 1), "a", "b").orderBy("no").collect()]
+    assert len(lines) == 34 and f"{edges.count() + 1} nodes" in lines[0] and all(" 1. hub |" in lines[k] for k in (2, 13, 24))
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
