@@ -147,6 +147,11 @@ def test_console_report_of_many_nodes(hub_metrics):
     assert len(lines) == 34 and f"{edges.count() + 1} nodes" in lines[0] and all(" 1. hub |" in lines[k] for k in (2, 13, 24))
 
 
+def test_top_betweenness_of_many_nodes(hub_metrics):
+    best = graph.top(hub_metrics[1], "betweenness").collect()
+    assert len(best) == 20 and (best[0].node, best[0].rank) == ("hub", 1)
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
