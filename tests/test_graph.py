@@ -157,6 +157,11 @@ def test_top_pagerank_of_many_nodes(hub_metrics):
     assert len(best) == 20 and (best[0].node, best[0].rank) == ("hub", 1)
 
 
+def test_top_degree_of_many_nodes(hub_metrics):
+    best = graph.top(hub_metrics[1], "degree").collect()
+    assert len(best) == 20 and (best[0].node, best[0].rank) == ("hub", 1)
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
