@@ -265,6 +265,23 @@ def _metrics(spark, d, edges=None):
     return materialize(rows.withColumns({"betweenness": F.round("betweenness", 12), "pagerank": F.round("pagerank", 10)}))
 
 
+def _leaders(spark, d, *keys, k=20):
+    """The metrics of all nodes that can be among the first by ``keys``, the numbers of all nodes by hash, and the number of edges; three None where the graph is beyond the bound or two names share a hash.
+
+    Ranks need only numbers; names and types are looked up for the few nodes that lead.
+    """
+    rows = _clean(spark, d)
+    g = graph.hashed(rows.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "weight"))
+    if g is None:
+        return None, None, None
+    numbers = materialize(graph.number_metrics(g).withColumns({"betweenness": F.round("betweenness", 12), "pagerank": F.round("pagerank", 10)}))
+    few = materialize(graph.leaders(numbers, keys, k))
+    among = F.broadcast(few) if few.count() <= reporting.FEW_KEYS else few
+    types = triples.node_types(rows, upgrade=False, among=among)
+    found = types.withColumn("id", F.xxhash64("node")).join(few, "id").select("node", "entity_type", "in_degree", "out_degree", "degree", "betweenness", "pagerank", "ord")
+    return materialize(found), numbers, len(g.src)
+
+
 @query(f"WITH RECURSIVE {_METRICS_SQL} SELECT node, entity_type, in_degree, out_degree, degree, betweenness, pagerank FROM mx")
 def q_node_metrics(spark, d):
     return _metrics(spark, d).orderBy(*graph.base_order()).drop("ord")
@@ -285,10 +302,13 @@ def q_top_pagerank(spark, d):
     return graph.top(_metrics(spark, d), "pagerank").drop("ord")
 
 
+def _kinds(spark, d):
+    return _clean(spark, d).agg(F.count_distinct("relation")).first()[0]
+
+
 def _summary(spark, d, edges=None):
     edges = edges or materialize(_edges(spark, d))
-    kinds = _clean(spark, d).agg(F.count_distinct("relation")).first()[0]
-    return graph.summary(edges, materialize(graph.measures(edges)), kinds)
+    return graph.summary(edges, materialize(graph.measures(edges)), _kinds(spark, d))
 
 
 @query(
@@ -317,6 +337,10 @@ def _report_sql() -> str:
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} " + _report_sql())
 def q_console_report(spark, d):
+    metrics, numbers, m = _leaders(spark, d, "degree", "betweenness", "pagerank")
+    if metrics is not None:
+        totals = numbers.agg(F.count(F.lit(1)).alias("nodes"), F.lit(m).cast("bigint").alias("edges_unique"))
+        return reporting.console_report(metrics, totals, "triples", "report")
     edges = materialize(_edges(spark, d))
     return reporting.console_report(_metrics(spark, d, edges), _summary(spark, d, edges), "triples", "report")
 

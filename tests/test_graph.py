@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, paths, reporting, triples
+from loomgraph.plans import queries
 
 SCHEMA = "triple_id long, subject string, subject_type string, relation string, obj string, obj_type string, weight string, confidence double, frequency string, source_id long"
 
@@ -162,6 +163,37 @@ def test_top_degree_of_many_nodes(hub_metrics):
     assert len(best) == 20 and (best[0].node, best[0].rank) == ("hub", 1)
 
 
+RING = [f"{'Nn'[k % 2]}{k:02d}" for k in range(30)]
+
+
+@pytest.fixture(scope="module")
+def ring(spark, tmp_path_factory):
+    """A ring whose nodes are alike in all numbers, so that names settle every order; an edge comes twice, two types change later."""
+    d = str(tmp_path_factory.mktemp("ring"))
+    rows = [(29 - k, RING[k], f"T{k % 3}", "R", RING[(k + 1) % 30], "LATER", 0.5, k) for k in range(30)] + [(30, RING[4], "U", "Q", RING[5], "U", 0.5, 1)]
+    spark.createDataFrame(rows, "triple_id long, subject string, subject_type string, relation string, obj string, obj_type string, confidence double, source_id long").write.parquet(f"{d}/triples.parquet")
+    return d
+
+
+def without_names(name, spark, d):
+    """The rows of a query where no names can be joined, and where all must be."""
+    with pytest.MonkeyPatch.context() as patch:
+        for x in ("encode", "degrees", "node_metrics"):
+            patch.setattr(graph, x, None)
+        got = [r.asDict() for r in queries.QUERIES[name](spark, d).collect()]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(graph, "hashed", lambda links: None, raising=False)  # as for two names of one hash
+        want = [r.asDict() for r in queries.QUERIES[name](spark, d).collect()]
+    return got, want
+
+
+def test_console_report_joins_no_names(spark, ring):
+    got, want = without_names("q_console_report", spark, ring)
+    got, want = [[r["line"] for r in sorted(x, key=lambda r: r["no"])] for x in (got, want)]
+    assert got == want and len(got) == 34 and "30 nodes, 30 unique" in got[0]
+    assert [x.split()[1] for x in got[2:12]] == sorted(RING, key=str.lower, reverse=True)[:10]
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
