@@ -347,6 +347,9 @@ def q_console_report(spark, d):
 
 @query()
 def q_summary_document(spark, d):
+    metrics, numbers, m = _leaders(spark, d, "degree", "betweenness", "pagerank")
+    if metrics is not None:
+        return graph.summary_document(graph.summary(m, numbers, _kinds(spark, d)), metrics)
     edges = materialize(_edges(spark, d))
     return graph.summary_document(_summary(spark, d, edges), _metrics(spark, d, edges))
 

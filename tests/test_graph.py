@@ -194,6 +194,14 @@ def test_console_report_joins_no_names(spark, ring):
     assert [x.split()[1] for x in got[2:12]] == sorted(RING, key=str.lower, reverse=True)[:10]
 
 
+def test_summary_document_joins_no_names(spark, ring):
+    got, want = without_names("q_summary_document", spark, ring)
+    assert got == want and len(got) == 1
+    doc = json.loads(got[0]["document"])
+    assert doc["graph"] == {"nodes": 30, "edges_unique": 30, "density": pytest.approx(1 / 29), "strongly_connected_components": 1, "weakly_connected_components": 1, "relation_types": 2}
+    assert [r["node"] for r in doc["top_by_pagerank"]] == sorted(RING, key=str.lower, reverse=True)[:20]
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
