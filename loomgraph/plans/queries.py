@@ -287,6 +287,11 @@ def q_node_metrics(spark, d):
     return _metrics(spark, d).orderBy(*graph.base_order()).drop("ord")
 
 
+def _top(spark, d, key):
+    metrics = _leaders(spark, d, key)[0]
+    return graph.top(_metrics(spark, d) if metrics is None else metrics, key).drop("ord")
+
+
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('degree')}")
 def q_top_degree(spark, d):
     return graph.top(_metrics(spark, d), "degree").drop("ord")
@@ -294,7 +299,7 @@ def q_top_degree(spark, d):
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('betweenness')}")
 def q_top_betweenness(spark, d):
-    return graph.top(_metrics(spark, d), "betweenness").drop("ord")
+    return _top(spark, d, "betweenness")
 
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('pagerank')}")
