@@ -304,7 +304,7 @@ def q_top_betweenness(spark, d):
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('pagerank')}")
 def q_top_pagerank(spark, d):
-    return graph.top(_metrics(spark, d), "pagerank").drop("ord")
+    return _top(spark, d, "pagerank")
 
 
 def _kinds(spark, d):
