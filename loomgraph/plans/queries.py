@@ -294,7 +294,7 @@ def _top(spark, d, key):
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('degree')}")
 def q_top_degree(spark, d):
-    return graph.top(_metrics(spark, d), "degree").drop("ord")
+    return _top(spark, d, "degree")
 
 
 @query(f"WITH RECURSIVE {_METRICS_SQL} {_top_sql('betweenness')}")

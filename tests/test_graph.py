@@ -212,6 +212,11 @@ def test_top_pagerank_joins_no_names(spark, ring):
     assert got == want and [r["node"] for r in got] == sorted(RING, key=str.lower, reverse=True)[:20] and all(r["entity_type"] == f"T{int(r['node'][1:]) % 3}" for r in got)
 
 
+def test_top_degree_joins_no_names(spark, ring):
+    got, want = without_names("q_top_degree", spark, ring)
+    assert got == want and [r["node"] for r in got] == sorted(RING, key=str.lower, reverse=True)[:20] and all(r["entity_type"] == f"T{int(r['node'][1:]) % 3}" for r in got)
+
+
 def test_reduced_paths_equal_brute_force():
     rng = random.Random(3)
     for trial in range(150):
